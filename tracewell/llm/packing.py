@@ -18,7 +18,7 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -198,6 +198,19 @@ def pack_partition(lengths: np.ndarray, capacity: int, last: bool) -> tuple[np.n
     return number, offset, closed, len(bins), bound
 
 
+PIECE_COLUMNS = ["key", "piece", "start", "length", "ids_crc32"]
+
+
+def _packer(capacity: int, last: bool, round_number: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["length", "key", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        number, offset, closed, bins, bound = pack_partition(rows["length"].to_numpy(), capacity, last)
+        first = (round_number << 58) + (int(rows["_part"].iloc[0]) << 32)
+        return rows[PIECE_COLUMNS].assign(sequence_id=first + number, offset=offset, partition_bins=bins, partition_bound=bound, closed=closed)
+
+    return packed
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -208,7 +221,7 @@ def pack(
 ) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and the bins and bound of its partition
     (``partition_bins``, ``partition_bound``)."""
-    columns = ["key", "piece", "start", "length", "ids_crc32"]
+    columns = PIECE_COLUMNS
     pool = cut(cut_pieces(docs, id_col, text_col, path, capacity))
     kind = dict(pool.dtypes)["key"]
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, partition_bins long, partition_bound long, closed long"
@@ -218,14 +231,8 @@ def pack(
         last = n <= partition_pieces or round_number == ROUNDS - 1 or (before is not None and n > 0.98 * before)
         parts = max(1, -(-n // partition_pieces))
 
-        def packed(rows: pd.DataFrame, last: bool = last, round_number: int = round_number) -> pd.DataFrame:
-            rows = rows.sort_values(["length", "key", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-            number, offset, closed, bins, bound = pack_partition(rows["length"].to_numpy(), capacity, last)
-            part = int(rows["_part"].iloc[0])
-            return rows[columns].assign(sequence_id=(round_number << 58) + (part << 32) + number, offset=offset, partition_bins=bins, partition_bound=bound, closed=closed)
-
         dealt = pool.select(*columns, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("_part"))
-        out = cut(dealt.groupBy("_part").applyInPandas(packed, schema))
+        out = cut(dealt.groupBy("_part").applyInPandas(_packer(capacity, last, round_number), schema))
         if last:
             done.append(out)
             break

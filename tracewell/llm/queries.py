@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, packing
+from . import decontaminate, licenses, media, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(_table(spark, sf_dir, "documents"), keep_media=False).drop("media")
 
@@ -53,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": op3_simhash,
         "op4_media": op4_media,
         "op7_licenses": op7_licenses,
         "op8_decontaminate": op8_decontaminate,

@@ -17,6 +17,9 @@ WORD_TABLE = bytes(
 #: The same, but line ends stay, to become tokens of their own.
 LINE_TABLE = bytes(10 if c == 10 else WORD_TABLE[c] for c in range(256))
 
+#: Lower-cases A-Z; bytes.split() then cuts at 0x20 and 0x09 to 0x0D.
+SPACE_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
