@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, media, packing, simhash
+from . import decontaminate, licenses, line_dedup, media, packing, pii, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    kinds = F.array_join(F.array_sort(F.array_distinct("found.kind")), ",")
+    return made.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), kinds.alias("kinds"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -62,6 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_pii": op2_pii,
         "op3_simhash": op3_simhash,
         "op4_media": op4_media,
         "op7_licenses": op7_licenses,
