@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, media, packing, pii, simhash
+from . import decontaminate, language, licenses, line_dedup, media, packing, pii, quality, simhash
+from .common import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,15 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(_table(spark, sf_dir, "documents"), keep_media=False).drop("media")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=remainder(F.col("id"), 3) != 1
+    )
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     starts, base = F.col("phrases.start"), F.col("phrases.label")
@@ -61,6 +71,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(_table(spark, sf_dir, "documents"), learn=remainder(F.col("doc_id"), 4) != 2)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("partition_bins", "partition_bound")
 
@@ -71,8 +86,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op3_simhash": op3_simhash,
         "op4_media": op4_media,
+        "op5_quality": op5_quality,
         "op7_licenses": op7_licenses,
         "op8_decontaminate": op8_decontaminate,
+        "op9_language": op9_language,
         "op10_packing": op10_packing,
     }
 
