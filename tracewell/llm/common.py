@@ -30,19 +30,18 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Cut lineage in the folder the cluster names; set one only where none is set, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return
-    warehouse = spark.conf.get("spark.sql.warehouse.dir")
-    spark.sparkContext.setCheckpointDir(f"{warehouse.rstrip('/')}/_checkpoints")
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it names none, as in tests, one in the
+    warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` from reliable storage: lost executors can't undo them."""
-    ensure_checkpoint_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -100,7 +99,3 @@ def map_texts(
         return (list(out.values()) for out in work(batch))
 
     return map_slices(frame, "text", schema.replace("{key}", dict(frame.dtypes)["key"]), listed)
-
-
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, line_dedup, media, packing, pii, quality, simhash
+from . import decontaminate, hmm, language, licenses, line_dedup, media, packing, pii, quality, simhash
 from .common import remainder
 
 
@@ -42,6 +42,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = remainder(F.col("doc_id"), 7) != 2
+    scored = hmm.score_texts(_table(spark, sf_dir, "documents"), learn=learn)
+    return scored.select("doc_id", (~learn).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     starts, base = F.col("phrases.start"), F.col("phrases.label")
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_media": op4_media,
         "op5_quality": op5_quality,
+        "op6_hmm": op6_hmm,
         "op7_licenses": op7_licenses,
         "op8_decontaminate": op8_decontaminate,
         "op9_language": op9_language,
