@@ -1,7 +1,7 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with documents.
 
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. The sets are
-the 3-word shingles of a window (all of its words if it has fewer than three). Shingles are ordered by rarity in the
+the five-word shingles of a window (all of its words if it has fewer than five). Shingles are ordered by rarity in the
 documents, counted over all of them. Containment has to be complete, so the necessary prefix of a window is its rarest
 shingle: a document that holds the window holds that shingle, at the window's offset. Documents are joined with windows
 on it; a candidate must fit between the document's ends (length and position), and is then compared word by word.
@@ -27,7 +27,7 @@ from .common import as_bytes, map_slices, map_texts
 from .words import encode, ranges, shingle_codes, words_of
 
 WINDOW = 13
-SHINGLE = 3
+SHINGLE = 5
 #: Text of the items in one broadcast; an item longer than this makes a block of its own.
 BLOCK_BYTES = 4 << 20
 
@@ -59,13 +59,12 @@ def build_windows(items: list[list[bytes]], window: int) -> tuple[dict[bytes, in
             owners = found.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), [])
             if not owners or owners[-1] != k:
                 owners.append(k)
-    base = len(vocabulary) + 1
     out = []
     for length, by_words in sorted(found.items()):
         matrix = np.array(list(by_words), np.int64)
         shingle = min(SHINGLE, length)
         counts = np.array([len(x) for x in by_words.values()])
-        codes = np.stack([shingle_codes(row, shingle, base) for row in matrix])
+        codes = np.stack([shingle_codes(row, shingle) for row in matrix])
         out.append(Windows(length, matrix, np.concatenate([[0], np.cumsum(counts)]), np.concatenate([np.array(x) for x in by_words.values()]), shingle, codes))
     return vocabulary, out
 
@@ -83,11 +82,11 @@ def order_windows(groups: list[Windows], rarity: dict[tuple[int, int], int]) ->
         g.window, g.offset = order, offset[order]
 
 
-def find_windows(ids: np.ndarray, bounds: np.ndarray, base: int, groups: list[Windows]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_windows(ids: np.ndarray, bounds: np.ndarray, groups: list[Windows]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and owner (item, with a row for each) of every window's occurrence. bounds: where documents begin
     and end in ids."""
     starts, lengths, owners = [], [], []
-    codes = {s: shingle_codes(ids, s, base) for s in {g.shingle for g in groups}}
+    codes = {s: shingle_codes(ids, s) for s in {g.shingle for g in groups}}
     for g in groups:
         c = codes[g.shingle]
         here = np.flatnonzero(c >= 0)
@@ -132,7 +131,7 @@ def _rarity(docs: DataFrame, id_col: str, text_col: str, index) -> dict[tuple[in
         size, code, count = [], [], []
         for s in sorted({g.shingle for g in groups}):
             known = np.unique(np.concatenate([g.codes.ravel() for g in groups if g.shingle == s]))
-            c = shingle_codes(ids, s, len(vocabulary) + 1)
+            c = shingle_codes(ids, s)
             whole = (c >= 0) & (document[: len(c)] == document[s - 1 : s - 1 + len(c)])
             c = c[whole]
             at = np.searchsorted(known, c)
@@ -177,7 +176,7 @@ def _matched(batch: pa.RecordBatch, index) -> Iterator[dict]:
     """Adds a block's occurrences to the columns spans and items (the last two) of a slice."""
     vocabulary, groups, item_ids = index.value
     ids, bounds = _words_of_batch(as_bytes(batch.column(1)), vocabulary)
-    starts, lengths, owners = find_windows(ids, bounds, len(vocabulary) + 1, groups)
+    starts, lengths, owners = find_windows(ids, bounds, groups)
     spans, items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
     if len(starts):
         document = np.searchsorted(bounds, starts, side="right") - 1

@@ -123,14 +123,15 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     chosen = (
         usable.groupBy("id").agg(F.max("label").alias("label")).where(learn).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(LABELLED)
     )
-    held = docs.join(F.broadcast(chosen), docs[id_col] == F.col("id"))
+    named = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    held = named.join(F.broadcast(chosen), F.col("_id") == F.col("id"))
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         buckets = _Buckets()
         rows = [terms(t, buckets).tobytes() for t in as_bytes(batch.column(1))]
         yield {"key": batch.column(0).cast(pa.string()), "label": batch.column(2), "terms": rows}
 
-    found = map_texts(held, id_col, text_col, "key string, label double, terms binary", work, {"label": F.col("label").cast("double")}).collect()
+    found = map_texts(held, "_id", "_text", "key string, label double, terms binary", work, {"label": F.col("label").cast("double")}).collect()
     found = sorted((r[0], r[1], bytes(r[2])) for r in found)[:LABELLED]
     rows = np.array([np.frombuffer(r[2], np.float32) for r in found]).reshape(-1, TERMS)
     return rows, np.array([r[1] for r in found])

@@ -17,6 +17,8 @@ WORD_TABLE = bytes(
 #: The same, but line ends stay, to become tokens of their own.
 LINE_TABLE = bytes(10 if c == 10 else WORD_TABLE[c] for c in range(256))
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 #: Lower-cases A-Z; bytes.split() then cuts at 0x20 and 0x09 to 0x0D.
 SPACE_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -35,17 +37,19 @@ def encode(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
 
 
-def shingle_codes(ids: np.ndarray, size: int, base: int) -> np.ndarray:
-    """A number for each run of ``size`` ids, equal for equal runs; those with an id 0 get -1. base**3 fits 63 bits."""
+def shingle_codes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A hash of 62 bits for each run of ``size`` ids; runs with an id 0 get -1. Equal runs have equal hashes; what is
+    found by a hash has to be compared by its ids."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    codes, known = ids[:n].copy(), ids[:n] > 0
-    for k in range(1, size):
+    codes, known = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(size):
         part = ids[k : n + k]
-        codes = codes * base + part
+        codes = (codes ^ part.astype(np.uint64)) * _MIX
+        codes ^= codes >> np.uint64(29)
         known &= part > 0
-    return np.where(known, codes, -1)
+    return np.where(known, (codes >> np.uint64(2)).astype(np.int64), -1)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
