@@ -230,7 +230,7 @@ def find_contamination(
         frame = frame.select(*held)
         frame = map_slices(frame, "_text", frame.schema.simpleString()[7:-1] + ",n_words:bigint", _adder(index))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
-    return frame.select(*[F.col(f"_keep{n}").alias(k) for n, k in enumerate(kept)], "n_words", hit.alias("n_hit"), "spans", "items")
+    return frame.select(*[F.col(f"_keep{n}").alias(k) for n, k in enumerate(kept)], "n_words", hit.alias("n_hit"), "spans", F.array_distinct("items").alias("items"))
 
 
 def _adder(index):
