@@ -148,9 +148,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = joined.unionAll(joined.select("root", "root").distinct())
     firsts = members.join(classes, members["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("component"))
     moved = members.join(firsts, "root").select("node", "component")
-    placed = classes.join(moved, classes["fp"] == moved["node"], "left").select(
-        F.col("fp").alias("print"), F.coalesce("component", "first").alias("component")
-    )
+    placed = cut(
+        classes.join(moved, classes["fp"] == moved["node"], "left").select(F.col("fp").alias("print"), F.coalesce("component", "first").alias("component"))
+    )  # as a table of its own, so that adaptive execution can split a fingerprint with many copies in the join below
     return prints.join(placed, F.col("fp") == F.col("print")).select(
         F.col("key").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
