@@ -115,3 +115,10 @@ def test_no_python_in_the_plan(spark, sf_small):
     plan = queries.op2_pii(spark, sf_small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert queries.op2_pii(spark, sf_small).where("n_found > 0").count() > 0
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111111111111111"
+    alone = swapped(spark, [card])[0]
+    texts = [f"5 {card}", f"{card} {card}", f"no-{card}-", f"12 {card} 7", f"{card}."]
+    assert swapped(spark, texts) == [t.replace(card, alone) for t in texts] and alone != card
