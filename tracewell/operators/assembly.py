@@ -197,7 +197,7 @@ def conda_merge(packages: DataFrame, files: DataFrame, dependencies: DataFrame)
     recipe = packages.where(F.array_contains("datasource_ids", "conda_meta_yaml")).select(F.col("package_uid").alias("_old"), F.col("purl").alias("_purl"), F.explode("datafile_paths").alias("_file"))
     above = ancestors(recipe, "_file").withColumnRenamed("_file", "_f")
     placed = recipe.join(above, F.col("_file") == F.col("_f")).select("_old", "_purl", "_file", "ancestor").distinct()
-    directory = F.trim(F.lit("/"), F.col("extracted_package_dir"))
+    directory = F.trim(F.col("extracted_package_dir"), F.lit("/"))
     pairs = placed.join(installed.select("package_uid", "purl", directory.alias("_dir")), (F.col("ancestor") == F.col("_dir")) & F.col("_purl").eqNullSafe(F.col("purl")))
     keys = pairs.groupBy("_old").agg(F.min("package_uid").alias("_new"), F.collect_set("_file").alias("_files"))
     more = keys.groupBy("_new").agg(F.flatten(F.collect_list("_files")).alias("_more"))
@@ -257,7 +257,7 @@ def nearest_versions(references: DataFrame, central: DataFrame) -> DataFrame:
 
 def referenced_files(packages: DataFrame, references: DataFrame, files: DataFrame) -> DataFrame:
     """path, package_uid of files that an installed package lists: references (package_uid, root, path below it)."""
-    full = F.trim(F.lit("/"), F.concat_ws("/", F.nullif(F.trim(F.lit("/"), F.col("root")), F.lit("")), F.trim(F.lit("/"), F.col("path"))))
+    full = F.trim(F.concat_ws("/", F.nullif(F.trim(F.col("root"), F.lit("/")), F.lit("")), F.trim(F.col("path"), F.lit("/"))), F.lit("/"))
     wanted = references.join(packages.select("package_uid"), "package_uid", "left_semi").select("package_uid", full.alias("path"))
     return wanted.join(files.select("path"), "path", "left_semi").select("path", "package_uid").distinct()
 

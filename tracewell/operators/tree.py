@@ -124,15 +124,15 @@ def scan_root(files: DataFrame, path: str = "path", is_dir: str = "is_dir") -> D
 def strip_root(path: Column, root: Column | str) -> Column:
     """Path below the root; the root itself is its name."""
     root = F.lit(root) if isinstance(root, str) else root
-    bare = F.trim(F.lit("/"), root)
-    own = F.trim(F.lit("/"), path)
+    bare = F.trim(root, F.lit("/"))
+    own = F.trim(path, F.lit("/"))
     inside = own.startswith(F.concat(bare, F.lit("/")))
     return F.when(own == bare, F.element_at(F.split(bare, "/"), -1)).when((bare == "") | ~inside, own).otherwise(F.substr(own, F.length(bare) + 2, F.length(own)))
 
 
 def full_root(path: Column, root: str) -> Column:
     """Absolute path, without slashes at its ends."""
-    return F.trim(F.lit("/"), F.concat_ws("/", F.lit(root.rstrip("/")), F.trim(F.lit("/"), path)))
+    return F.trim(F.concat_ws("/", F.lit(root.rstrip("/")), F.trim(path, F.lit("/"))), F.lit("/"))
 
 
 def unique_findings(found: DataFrame, key: str, value: str) -> DataFrame:

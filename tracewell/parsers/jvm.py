@@ -39,7 +39,8 @@ def _fill(text: str | None, values: dict[str, str]) -> str | None:
 @reads("maven_pom", "maven", r"(?:^|/)pom\.xml$|\.pom$", "xml", "Java", "Maven project object model")
 def pom(path: str, root: ET.Element) -> dict:
     parent = root.find("parent")
-    values = {e.tag: (e.text or "").strip() for e in root.find("properties") or []}
+    given = root.find("properties")
+    values = {e.tag: (e.text or "").strip() for e in (given if given is not None else [])}
     own = {k: child_text(root, k) for k in ("groupId", "artifactId", "version", "name", "packaging")}
     inherited = {k: child_text(parent, k) for k in ("groupId", "artifactId", "version")}
     group, version = own["groupId"] or inherited["groupId"], own["version"] or inherited["version"]

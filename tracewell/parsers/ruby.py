@@ -168,7 +168,7 @@ def gem_metadata(d: dict) -> dict:
 
 
 def untagged_yaml(text: str) -> dict:
-    return mapping(yaml_of(re.sub(r"!(?:ruby/\S+|binary)\s*", "", text)))
+    return mapping(yaml_of(re.sub(r"!(?:ruby/\S+|binary)[ \t]*", "", text)))
 
 
 @reads("gem_archive_extracted", "gem", r"(?:^|/)metadata\.gz-extract(?:/metadata)?$", "text", "Ruby", "Specification of an extracted gem")
