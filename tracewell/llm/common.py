@@ -45,13 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """``batch`` in pieces of about SLICE_BYTES of text, one row at least."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of about ``most`` bytes of text, one row at least."""
     n = batch.num_rows
     if not n:
         return
     total = batch.column(batch.schema.get_field_index(text)).nbytes
-    step = max(1, int(n * SLICE_BYTES / max(total, 1)))
+    step = max(1, int(n * most / max(total, 1)))
     for at in range(0, n, step):
         yield batch.slice(at, min(step, n - at))
 
@@ -61,13 +61,13 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_slices(frame: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBatch], Iterator[list]]) -> DataFrame:
+def map_slices(frame: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBatch], Iterator[list]], most: int = SLICE_BYTES) -> DataFrame:
     """``work`` over slices of a frame; it yields lists of equally long columns in the order of ``schema``."""
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, most):
                 for out in work(batch):
                     columns = [
                         (v if v.type == f.type else v.cast(f.type)) if isinstance(v, pa.Array) else pa.array(v, type=f.type)
@@ -85,6 +85,7 @@ def map_texts(
     schema: str,
     work: Callable[[pa.RecordBatch], Iterator[dict]],
     more: dict[str, Column] | None = None,
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """``work`` over slices with the columns ``key``, ``text`` and those of ``more``.
 
@@ -98,4 +99,4 @@ def map_texts(
     def listed(batch: pa.RecordBatch) -> Iterator[list]:
         return (list(out.values()) for out in work(batch))
 
-    return map_slices(frame, "text", schema.replace("{key}", dict(frame.dtypes)["key"]), listed)
+    return map_slices(frame, "text", schema.replace("{key}", dict(frame.dtypes)["key"]), listed, most)

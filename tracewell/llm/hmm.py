@@ -46,7 +46,9 @@ START_ROUNDS = 12
 #: Tokens whose state probabilities are in memory at once, but for one longer text.
 TOKENS = 300_000
 #: Words in a batch's counts before they are handed on.
-COUNTED = 400_000
+COUNTED = 250_000
+#: Bytes of text that are tokens at once: a token takes several times its bytes.
+LOT = 5 << 20
 END = b"\n"
 
 
@@ -65,7 +67,7 @@ def shape_of(word: bytes) -> int:
 class Shapes(dict):
     def __missing__(self, word: bytes) -> int:
         value = 1 + OWN + shape_of(word)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
@@ -107,7 +109,7 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str, learn: Column) ->
                 counts = Counter()
         yield {"word": list(counts), "n": list(counts.values())}
 
-    return cut(map_texts(docs.where(learn), id_col, text_col, "word binary, n long", work).groupBy("word").agg(F.sum("n").alias("c")))
+    return cut(map_texts(docs.where(learn), id_col, text_col, "word binary, n long", work, most=LOT).groupBy("word").agg(F.sum("n").alias("c")))
 
 
 def read_vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
@@ -313,7 +315,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn: Column, shared: _S
             out.append(classes[at : at + START_TOKENS].astype("<i4").tobytes())
         yield {"classes": out}
 
-    rows = map_texts(texts.where(hashed < START_TEXTS / n), id_col, text_col, "classes binary", windows).collect()
+    rows = map_texts(texts.where(hashed < START_TEXTS / n), id_col, text_col, "classes binary", windows, most=LOT).collect()
     model = start_model([np.frombuffer(c, "<i4").astype(np.int64) for c in sorted(bytes(r[0]) for r in rows)], states)
     spark = docs.sparkSession
     for _ in range(rounds if shared.value.ends else 0):
@@ -330,7 +332,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn: Column, shared: _S
             at = np.flatnonzero(counts > 1e-6)
             yield {"at": pa.array(at.astype(np.int32)), "n": pa.array(counts[at])}
 
-        summed = map_texts(texts, id_col, text_col, "at int, n double", expect).groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        summed = map_texts(texts, id_col, text_col, "at int, n double", expect, most=LOT).groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(states + states * states + CLASSES * states)
         counts[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
         model = maximise(counts[:states], counts[states : states + states**2].reshape(states, states), counts[states + states**2 :].reshape(CLASSES, states))
@@ -386,7 +388,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = "key {key}, hash long, word binary, n long, tokens long, known long, base double, score double"
     text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    rows = map_texts(docs, id_col, text_col, schema, work, {"hash": text_hash})
+    rows = map_texts(docs, id_col, text_col, schema, work, {"hash": text_hash}, LOT)
     joined = rows.join(counts.hint("merge"), "word", "left")
     summed = joined.groupBy("key", "hash").agg(
         F.count("tokens").alias("times"),
