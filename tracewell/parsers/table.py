@@ -19,13 +19,24 @@ from .base import MOST_BYTES, PACKAGE_SCHEMA, READERS, Reader, rows_of
 
 
 @lru_cache(1)
-def _compiled() -> list[tuple[re.Pattern, Reader]]:
-    return [(re.compile(r.paths), r) for r in READERS]
+def _compiled() -> tuple[list[tuple[int, re.Pattern]], list[tuple[int, re.Pattern]]]:
+    """Places in the table and patterns: those that look at a file's name alone, and those at its path."""
+    named, others = [], []
+    for n, r in enumerate(READERS):
+        alone = "/" not in r.paths.replace("(?:^|/)", "").replace("[^/]", "")
+        (named if alone else others).append((n, re.compile(r.paths)))
+    return named, others
+
+
+@lru_cache(100_000)
+def _by_name(name: str) -> tuple[int, ...]:
+    return tuple(n for n, p in _compiled()[0] if p.search(name))
 
 
 def matching_readers(path: str) -> list[Reader]:
     """Readers that take a path, in the table's order."""
-    return [r for p, r in _compiled() if p.search(path)]
+    found = [*_by_name(path.rpartition("/")[2]), *(n for n, p in _compiled()[1] if p.search(path))]
+    return [READERS[n] for n in sorted(found)]
 
 
 def readers_table(spark: SparkSession) -> DataFrame:
