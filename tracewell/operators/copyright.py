@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,8 @@ CREDITS_NAMES = ("author", "authors", "authors.md", "authors.rst", "authors.txt"
 CREDITS_LINES = 50
 #: Reductions of a group's parse, at most.
 REDUCTIONS = 50
+#: Characters up to which a run of lines is remembered.
+REMEMBERED_CHARS = 1000
 #: Statements that are handed on together.
 ROWS_AT_ONCE = 10_000
 
@@ -44,11 +47,11 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(out, r"(?is)<\s*(https?://[^\s>]+)\s*\r?\n\s*([^\s>]+)\s*>", "$1 $2")
 
 
-_ANY_MARKER = "|".join(re.sub(r"([^\w ])", r"\\\1", m) for m in MARKERS)
-
-
 def has_hint(line: Column) -> Column:
-    return F.lower(line).rlike(_ANY_MARKER) | F.regexp_extract(line, C_SIGN, 1).rlike("^[0-9A-Z]$")
+    low, hit = F.lower(line), F.lit(False)
+    for m in MARKERS:
+        hit = hit | low.contains(m)
+    return hit | (low.contains("(c)") & F.regexp_extract(line, C_SIGN, 1).rlike("^[0-9A-Z]$"))
 
 
 def has_year(line: Column) -> Column:
@@ -136,6 +139,11 @@ TAGS: list[tuple[str, re.Pattern]] = [
 _SPLIT = re.compile(r"[\t =;]+")
 
 
+@lru_cache(100_000)
+def tag_of(word: str) -> str:
+    return next(t for t, p in TAGS if p.match(word))
+
+
 def tokens_of(lines: list[tuple[int, str]]) -> list[Token]:
     """Tagged tokens of a run of lines. A blank line ends what stands before it, but not right after a copyright word, a
     year or "by"."""
@@ -156,7 +164,7 @@ def tokens_of(lines: list[tuple[int, str]]) -> list[Token]:
                 continue
             comma = word.endswith(",") and word.rstrip(",").strip()
             base = word.rstrip(",").strip() if comma else word
-            out.append(Token(base, next(t for t, p in TAGS if p.match(base)), number))
+            out.append(Token(base, tag_of(base), number))
             if comma:
                 out.append(Token(",", "CC", number))
     for a, b in zip(out, out[1:], strict=False):
@@ -267,7 +275,20 @@ def refine_holder(value: str) -> str:
 
 
 def statements(lines: list[tuple[int, str]]) -> Iterator[tuple[str, str, int, int]]:
-    """(kind, value, first line, last line) of a run of lines."""
+    """(kind, value, first line, last line) of a run of lines. Headers are the same in many files, so that short runs are
+    remembered with lines counted from their first."""
+    base = lines[0][0] if lines else 0
+    run = tuple((n - base, s) for n, s in lines)
+    found = _remembered(run) if sum(len(s) for _, s in run) <= REMEMBERED_CHARS else _statements(run)
+    return ((kind, value, a + base, b + base) for kind, value, a, b in found)
+
+
+@lru_cache(20_000)
+def _remembered(run: tuple[tuple[int, str], ...]) -> tuple[tuple[str, str, int, int], ...]:
+    return tuple(_statements(run))
+
+
+def _statements(lines: tuple[tuple[int, str], ...]) -> Iterator[tuple[str, str, int, int]]:
     for node in reduce_tokens(tokens_of(lines)):
         if isinstance(node, Token) or node.label not in ("COPYRIGHT", "AUTHOR"):
             continue

@@ -8,6 +8,7 @@ whose size is checked before it is broadcast (``bounded``), and joined by shuffl
 from __future__ import annotations
 
 import hashlib
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -26,6 +27,8 @@ HASH, SPDX, EXACT, SEQUENCE = "1-hash", "1-spdx-id", "2-aho", "3-seq"
 NEAR_RESEMBLANCE, NEAR_MOST, RUN_MOST = 0.8, 10, 50
 #: Rows of a dimension up to which it is broadcast.
 BROADCAST_ROWS = 500_000
+#: Rules up to which texts are tested for their words before they are cut into tokens.
+FEW_RULES = 64
 #: Lines between two matches beyond which they belong to different detections.
 LINES_APART = 4
 MATCH = (
@@ -104,13 +107,13 @@ def hash_matches(df: DataFrame, rules: DataFrame, key: str = "path", text: str =
 def exact_matches(df: DataFrame, rules: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """Every place, overlapping ones too, where a rule's tokens stand one after another.
 
-    A place is looked at only if its token begins a rule of the length; the windows that are left are joined with the
-    rules by their text."""
+    Texts that can't hold a rule go first, if the rules are few: one has to hold all words of one. Then a place is looked
+    at only if its token begins a rule of the length; the windows that are left are joined with the rules by their text."""
     ready = prepared_rules(rules).where("NOT is_false_positive").select("rid", "license_expression", "kind", "relevance", "rule_length", F.array_join("tokens", " ").alias("rule_text"), F.col("tokens")[0].alias("head"))
     firsts: dict[int, list[str]] = {}
     for n, head in ready.select("rule_length", "head").distinct().collect():
         firsts.setdefault(n, []).append(head)
-    runs = df.select(key, line_tokens(F.col(text)).alias("t")).select(key, F.col("t.token").alias("tokens"), F.col("t.line").alias("lines"))
+    runs = _may_hold(df, text, ready).select(key, line_tokens(F.col(text)).alias("t")).select(key, F.col("t.token").alias("tokens"), F.col("t.line").alias("lines"))
     windows = F.array().cast("array<struct<start:int,length:int,rule_text:string>>")
     for n, heads in sorted(firsts.items()):
         windows = F.concat(windows, _windows(F.col("tokens"), n, sorted(heads)))
@@ -119,6 +122,20 @@ def exact_matches(df: DataFrame, rules: DataFrame, key: str = "path", text: str
     return _match(placed.join(bounded(ready.drop("head")), "rule_text"), key, EXACT)
 
 
+def _may_hold(df: DataFrame, text: str, ready: DataFrame) -> DataFrame:
+    """Texts with all words of some rule, longest words first, where there are at most FEW_RULES."""
+    rules = [r[0].split(" ") for r in ready.select("rule_text").limit(FEW_RULES + 1).collect()]
+    if len(rules) > FEW_RULES:
+        return df
+    low, hit = F.lower(F.col(text)), F.lit(False)
+    for words in rules:
+        own = F.lit(True)
+        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+            own = own & low.contains(w)
+        hit = hit | own
+    return df.where(hit)
+
+
 def _windows(found: Column, n: int, heads: list[str]) -> Column:
     places = F.filter(F.transform(found, lambda t, i: F.when(t.isin(*heads), i)), lambda i: i.isNotNull() & (i + n <= F.size(found)))
     return F.transform(places, lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice(found, i + 1, F.lit(n)), " ").alias("rule_text")))
@@ -175,6 +192,7 @@ def candidate_rules(df: DataFrame, rules: DataFrame, key: str = "path", text: st
     key, rid, shared (tokens, repeats counted), containment (of the rule), resemblance, rank.
 
     Texts join rules by token; counts are summed per text and rule before they are ranked."""
+    df = df.where(F.lower(F.col(text)).rlike("|".join(re.escape(w) for w in sorted(legalese))))
     of_rule = rule_tokens(prepared_rules(rules), legalese).groupBy("rid", "token").agg(F.count(F.lit(1)).alias("rule_n"), F.max("is_legalese").alias("is_legalese"))
     lengths = of_rule.groupBy("rid").agg(F.sum("rule_n").alias("rule_length"))
     sized = df.select(key, text, F.size(tokens(F.col(text))).alias("length"))

@@ -27,9 +27,10 @@ def depth(path: Column) -> Column:
 
 def ancestors(df: DataFrame, path: str = "path", self: bool = False) -> DataFrame:
     """path, ancestor, distance, for every directory above a path (the root is empty), and the path itself if asked."""
-    parts = F.split(F.col(path), "/")
+    parts = F.col("_parts")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("ancestor"), (F.size(parts) - k).alias("distance")))
-    return df.select(path, F.inline(above)).where(F.col("distance") >= (0 if self else 1))
+    split = df.select(path, F.split(F.col(path), "/").alias("_parts"))
+    return split.select(path, F.inline(above)).where(F.col("distance") >= (0 if self else 1))
 
 
 def with_directories(files: DataFrame, path: str = "path") -> DataFrame:

@@ -10,7 +10,7 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -18,13 +18,17 @@ from pyspark.sql.types import _parse_datatype_string
 from .base import MOST_BYTES, PACKAGE_SCHEMA, READERS, Reader, rows_of
 
 
+def _name_alone(pattern: str) -> bool:
+    """Whether an expression looks at nothing before a path's last slash."""
+    return "/" not in pattern.replace("(?:^|/)", "").replace("[^/]", "")
+
+
 @lru_cache(1)
 def _compiled() -> tuple[list[tuple[int, re.Pattern]], list[tuple[int, re.Pattern]]]:
     """Places in the table and patterns: those that look at a file's name alone, and those at its path."""
     named, others = [], []
     for n, r in enumerate(READERS):
-        alone = "/" not in r.paths.replace("(?:^|/)", "").replace("[^/]", "")
-        (named if alone else others).append((n, re.compile(r.paths)))
+        (named if _name_alone(r.paths) else others).append((n, re.compile(r.paths)))
     return named, others
 
 
@@ -39,6 +43,47 @@ def matching_readers(path: str) -> list[Reader]:
     return [READERS[n] for n in sorted(found)]
 
 
+_LITERAL = re.compile(r"(?:[\w -]|\\[^\w])+")
+
+
+def _unescaped(text: str) -> str:
+    return re.sub(r"\\(.)", r"\1", text)
+
+
+def path_filter(path: Column, readers: list[Reader]) -> Column:
+    """Whether some reader may take a path. Most are known by a file's name or ending, which are looked up in a set; an
+    expression is tried only where the name fits its last part, or for the few that tell nothing about it. Python tests
+    the whole expression again."""
+    names, endings, tails, tailed, others = set(), set(), set(), [], []
+    for p in dict.fromkeys(r.paths for r in readers):
+        whole = re.fullmatch(r"\(\?:\^\|/\)(?:\(\?:(.+)\)|(.+))\$", p)
+        ending = re.fullmatch(r"(?:\(\?i\))?\\\.(?:\(\?:([\w|]+)\)|(\w+))\$", p)
+        last = p.replace("[^/]", "\0").rpartition("/")[2].removesuffix("$")
+        if whole and "(?i)" not in p and all(_LITERAL.fullmatch(a) for a in (whole[1] or whole[2]).split("|")):
+            names |= {_unescaped(a) for a in (whole[1] or whole[2]).split("|")}
+        elif ending:
+            endings |= set((ending[1] or ending[2]).lower().split("|"))
+        elif "/" in p.replace("[^/]", "") and "|" not in p.replace("(?:^|/)", "") and "(?i)" not in p and _LITERAL.fullmatch(last):
+            tails.add(_unescaped(last))
+            tailed.append(p)
+        else:
+            others.append(p)
+    name = F.substring_index(path, "/", -1)
+    any_of = lambda patterns, of=path: of.rlike("|".join(f"(?:{p})" for p in patterns))
+    by_name = [p for p in others if _name_alone(p)]
+    by_path = [p for p in others if not _name_alone(p)]
+    hit = F.lit(False)
+    if names:
+        hit = hit | name.isin(*sorted(names))
+    if endings:
+        hit = hit | F.lower(F.substring_index(name, ".", -1)).isin(*sorted(endings))
+    if tails:
+        hit = hit | (name.isin(*sorted(tails)) & any_of(tailed))
+    if by_name:
+        hit = hit | any_of(by_name, name)
+    return hit | any_of(by_path) if by_path else hit
+
+
 def readers_table(spark: SparkSession) -> DataFrame:
     """datasource_id, type, paths, form, primary_language, about: one row for each reader."""
     rows = [(r.datasource, r.type, r.paths, r.form, r.language, r.about) for r in READERS]
@@ -52,9 +97,8 @@ def package_data(files: DataFrame, path: str = "path", content: str = "content",
     wanted = [r for r in READERS if datasources is None or r.datasource in datasources]
     if not wanted:
         return files.sparkSession.createDataFrame([], f"path string, {PACKAGE_SCHEMA}")
-    hit = F.col(path).rlike("|".join(f"(?:{p})" for p in dict.fromkeys(r.paths for r in wanted)))
     raw = F.col(content).cast("binary")
-    own = files.where(hit).select(F.col(path).alias("path"), F.when(F.octet_length(raw) <= MOST_BYTES, raw).alias("content"))
+    own = files.where(path_filter(F.col(path), wanted)).select(F.col(path).alias("path"), F.when(F.octet_length(raw) <= MOST_BYTES, raw).alias("content"))
     schema = f"path string, {PACKAGE_SCHEMA}"
     target = to_arrow_schema(_parse_datatype_string(schema))
     chosen = frozenset(r.datasource for r in wanted)

@@ -15,11 +15,11 @@ from .registry import query, table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "html", "url")
+    return table(spark, sf_dir, "pages", "page_id", "html", "url")
 
 
 _quote = lambda s: "'" + s.replace("'", "''") + "'"

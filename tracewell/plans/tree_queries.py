@@ -155,15 +155,15 @@ def npm_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT concat('o', o_orderkey, '/requirements.txt') AS path, concat('pkg:pypi/part-', l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN concat('@', l_suppkey, '.0') ELSE '' END) AS purl,
+SELECT concat('c', o_custkey, '/o', o_orderkey, '/requirements.txt') AS path, concat('pkg:pypi/part-', l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN concat('@', l_suppkey, '.0') ELSE '' END) AS purl,
   CASE WHEN l_linenumber % 2 = 0 THEN concat('==', l_suppkey, '.0') ELSE '>=1.0' END AS requirement, l_linenumber % 2 = 0 AS is_pinned FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 """)
 def requirement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirement lines (P10) of a file for each order."""
     line = F.concat(F.lit("Part_"), "l_partkey", F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" == "), "l_suppkey", F.lit(".0"))).otherwise(">=1.0  # any"))
     texts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("s"))))["s"], "\n").alias("content"))
-    held = table(spark, sf_dir, "orders").select("o_orderkey").join(texts, F.col("o_orderkey") == F.col("l_orderkey"))
-    rows = package_data(held.select(F.concat(F.lit("o"), "o_orderkey", F.lit("/requirements.txt")).alias("path"), "content"))
+    held = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(texts, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = package_data(held.select(F.concat(F.lit("c"), "o_custkey", F.lit("/o"), "o_orderkey", F.lit("/requirements.txt")).alias("path"), "content"))
     return rows.select("path", F.inline("dependencies")).select("path", "purl", F.col("extracted_requirement").alias("requirement"), "is_pinned")
 
 
