@@ -8,8 +8,9 @@ whose size is checked before it is broadcast (``bounded``), and joined by shuffl
 from __future__ import annotations
 
 import hashlib
-import re
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +193,7 @@ def candidate_rules(df: DataFrame, rules: DataFrame, key: str = "path", text: st
     key, rid, shared (tokens, repeats counted), containment (of the rule), resemblance, rank.
 
     Texts join rules by token; counts are summed per text and rule before they are ranked."""
-    df = df.where(F.lower(F.col(text)).rlike("|".join(re.escape(w) for w in sorted(legalese))))
+    df = df.where(reduce(or_, [F.lower(F.col(text)).contains(w) for w in sorted(legalese)], F.lit(False)))
     of_rule = rule_tokens(prepared_rules(rules), legalese).groupBy("rid", "token").agg(F.count(F.lit(1)).alias("rule_n"), F.max("is_legalese").alias("is_legalese"))
     lengths = of_rule.groupBy("rid").agg(F.sum("rule_n").alias("rule_length"))
     sized = df.select(key, text, F.size(tokens(F.col(text))).alias("length"))
