@@ -122,3 +122,36 @@ def test_cards_beside_other_numbers(spark):
     alone = swapped(spark, [card])[0]
     texts = [f"5 {card}", f"{card} {card}", f"no-{card}-", f"12 {card} 7", f"{card}."]
     assert swapped(spark, texts) == [t.replace(card, alone) for t in texts] and alone != card
+
+
+def test_ibans_in_groups_of_four(spark):
+    flat = [iban_of("370400440532013000"), iban_of("NWBK60161331926819", "GB"), iban_of("21000418450200051332", "ES"), iban_of("86011117947", "NO")]
+    parted = lambda x: " ".join(x[k : k + 4] for k in range(0, len(x), 4))
+    groups = ["3704 0044 0532 0130 01", "4111 1111 1111 1111 00", "4111 1111 1111 1112 00"]
+    got = swapped(spark, [*flat, *[f"to {parted(x)} 2024 PAID" for x in flat], *groups, *[f"DE12 {g}" for g in groups]])
+    assert parted(flat[0]) == "DE89 3704 0044 0532 0130 00" and not set(got[:4]) & set(flat)
+    assert got[4:8] == [f"to {parted(x)} 2024 PAID" for x in got[:4]]
+    assert got[11:] == [f"DE12 {g}" for g in got[8:11]]
+
+
+def test_other_dates_and_telephone_numbers(spark):
+    def day(d, form):
+        n = (d - date(1900, 1, 1)).days
+        a, b = feistel(pii.KEY, "date", n // 229, n % 229, 319, 229)
+        new = date(1900, 1, 1) + timedelta(a * 229 + b)
+        return form.format(y=new.year, m=new.month, d=new.day)
+
+    d, first = date(2021, 3, 12), date(2021, 2, 1)
+    texts = ["2021/03/12", "2021.03.12", "12-03-2021", "1/2/2021", "1.2.2021", "2021-2-1", "3/31/2021", "31/2/2021 2021/13/1 2021/03-12"]
+    want = [day(d, "{y}/{m:02}/{d:02}"), day(d, "{y}.{m:02}.{d:02}"), day(d, "{d:02}-{m:02}-{y}"), day(first, "{d}/{m}/{y}"), day(first, "{d}.{m}.{y}"), day(first, "{y}-{m}-{d}"), day(date(2021, 3, 31), "{m}/{d}/{y}"), texts[-1]]
+    n = digits(pii.KEY, "phone", "2125551234")
+    want += [f"{n[:3]} {n[3:6]} {n[6:]}", f"({n[:3]}) {n[3:6]} {n[6:]}"]
+    assert swapped(spark, [*texts, "212 555 1234", "(212) 555 1234"]) == want
+
+
+def test_long_local_parts_are_permuted_to_their_end(spark):
+    local = "".join(chr(97 + k % 26) for k in range(60)) + "0123456789" * 4
+    got = swapped(spark, [f"{local}@example.com", f"{local[:26]}@example.com"])
+    new = got[0].split("@")[0]
+    assert len(new) == len(local) and new[26:52] != local[26:52] and new[52:60] != local[52:60] and new[90:] != local[90:]
+    assert new[:26] == got[1].split("@")[0] and new[26:52] != new[:26]

@@ -1,21 +1,23 @@
 """PII pseudonyms by format-preserving keyed permutations, in DataFrame operations only.
 
 Found are e-mail addresses, IPv4 addresses, telephone numbers, payment card numbers (Luhn), IBANs (mod 97), US social
-security numbers (area, group and serial rules) and calendar dates from 1900 to 2099. What fails its check stays as it
-is. A value is permuted by an alternating Feistel network over a domain that is exactly its format's set of values, so
+security numbers (area, group and serial rules) and calendar dates from 1900 to 2099. IBANs are found without spaces
+and, for the countries of IBAN_LENGTHS, in groups of four with single spaces. Dates have day, month and year or year,
+month and day, with one or two digits for day and month, between equal signs ``-``, ``/`` or ``.``. Telephone numbers
+have a country code with ``+``, or ten digits in groups of 3, 3 and 4. What fails its check stays as it is. A value is permuted by an alternating Feistel network over a domain that is exactly its format's set of values, so
 a pseudonym is valid in the same format, different values of a kind get different pseudonyms, and equal values get
 equal ones in every document, with no table of them. Each of ROUNDS rounds adds to one half, modulo its size, a number
 from SHA-256 over key, kind, round and the other half.
 
     kind    kept                              permuted
     card    first digit, separators           the other digits; the last is the Luhn digit again
-    iban    country, letters                  digits of the account; check digits follow
+    iban    country, letters, spaces          digits of the account; check digits follow
     ssn     separators                        (area, group, serial) among the valid ones
     phone   country code, separators          the national number's digits
     ip      dots                              the 32 bits
     date    order, separators                 the day among 73,049 days
-    email   domain, punctuation               letters (lower-cased) and digits of the local part, each among its own;
-                                              of more than 26 letters or 30 digits the first 26 and 30
+    email   domain, punctuation               letters (lower-cased) and digits of the local part, each among its own,
+                                              in blocks of 26 letters and 30 digits
 
 Null texts stay null. Rows are handled each on its own, so repeats, ties and null ids need no rule; an empty table
 gives an empty result. The key is a secret: pass your own.
@@ -35,14 +37,28 @@ FIRST_DAY = "1900-01-01"
 DAYS = (319, 229)
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _spaced_iban(length: int, countries: str) -> str:
+    last = length % 4
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{length // 4 - 1}}}" + (f" [A-Z0-9]{{{last}}}" if last else "")
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"
 PATTERNS = {
     "email": EMAIL,
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "iban": rf"\b(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{'|'.join(_spaced_iban(n, c) for n, c in IBAN_LENGTHS.items())})\b",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\1(?:19|20)[0-9]{2})(?![0-9/-])",
+    "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9-])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{4}(?:[ -][0-9]{4}){2,3}[ -][0-9]{1,7})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -50,12 +66,12 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"@|[0-9][0-9 .()/-]*[0-9]"
 
 
-def _number(key: str, kind: str, step: Column, other: Column) -> Column:
+def _number(key: str, kind: str | Column, step: Column, other: Column) -> Column:
     digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), step.cast("string"), other.cast("string")).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def permute(key: str, kind: str, a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
+def permute(key: str, kind: str | Column, a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
     """A struct (a, b) from the pairs with a < size_a and b < size_b, which it permutes."""
 
     def step(s: Column, r: Column) -> Column:
@@ -74,7 +90,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def permute_text(key: str, kind: str, text: Column, base: int) -> Column:
+def permute_text(key: str, kind: str | Column, text: Column, base: int) -> Column:
     """A string of the digits 0.. of a base up to 26, of the same length; at most 30 decimal digits or 26 others."""
 
     def with_parts(p: Column) -> Column:
@@ -83,12 +99,23 @@ def permute_text(key: str, kind: str, text: Column, base: int) -> Column:
         size = lambda n: F.pow(F.lit(float(base)), n).cast("bigint")
         number = lambda s: F.coalesce(F.conv(F.when(s != "", s).otherwise("0"), base, 10), F.lit("0")).cast("bigint")
         text_of = lambda x, n: F.lpad(F.lower(F.conv(x.cast("string"), 10, base)), n, "0")
-        mixed = permute(key, f"{kind}{base}", number(F.substr(p, F.lit(1), half)), number(F.substr(p, half + 1, rest)), size(half), size(rest))
+        mixed = permute(key, f"{kind}{base}" if isinstance(kind, str) else kind, number(F.substr(p, F.lit(1), half)), number(F.substr(p, half + 1, rest)), size(half), size(rest))
         return _let(mixed, lambda m: F.concat(F.when(half > 0, text_of(m["a"], half)).otherwise(""), text_of(m["b"], rest)))
 
     return F.when(text == "", "").otherwise(_let(text, with_parts))
 
 
+def _permute_blocks(key: str, kind: str, text: Column, base: int, size: int) -> Column:
+    """``permute_text`` of each ``size`` characters, every block after the first under a kind of its own."""
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int")))
+
+    def block(n: Column) -> Column:
+        name = F.when(n == 0, F.lit(f"{kind}{base}")).otherwise(F.concat(F.lit(f"{kind}{base}."), n.cast("string")))
+        return permute_text(key, name, F.substr(text, n * size + 1, F.lit(size)), base)
+
+    return F.array_join(F.transform(numbers, block), "")
+
+
 def _refill(shape: Column, wanted: str, new: Column) -> Column:
     """``shape`` with the characters that match ``wanted`` replaced by those of ``new`` in turn; those beyond it stay."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
@@ -128,13 +155,13 @@ def _card(key: str, m: Column) -> Column:
 
 
 def _iban(key: str, m: Column) -> Column:
-    def use(account: Column) -> Column:
-        country = F.substr(m, F.lit(1), F.lit(2))
+    def whole(flat: Column) -> Column:
+        country, account = F.substr(flat, F.lit(1), F.lit(2)), F.substr(flat, F.lit(5), F.length(flat))
         new = _let(permute_text(key, "iban", F.substr(_digits(account), F.lit(1), F.lit(30)), 10), lambda d: _refill(account, "[0-9]", d))
-        valid = _mod97(F.concat(account, F.substr(m, F.lit(1), F.lit(4)))) == 1
+        valid = _mod97(F.concat(account, F.substr(flat, F.lit(1), F.lit(4)))) == 1
         return F.when(valid, _let(new, lambda n: F.concat(country, F.lpad((98 - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0"), n)))
 
-    return _let(F.substr(m, F.lit(5), F.length(m)), use)
+    return _let(_let(F.translate(m, " ", ""), whole), lambda n: F.when(n.isNotNull(), _refill(m, "[A-Z0-9]", n)))
 
 
 def _ssn(key: str, m: Column) -> Column:
@@ -171,24 +198,27 @@ def _ip(key: str, m: Column) -> Column:
     return _let(F.split(m, r"\."), use)
 
 
-def _shown_day(form: str) -> Callable[[Column], Column]:
-    return lambda s: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int")), form)
+def _date(key: str, m: Column) -> Column:
+    """Day first, unless only month first is a date. A day or month of one digit leaves the new ones without zeros."""
+
+    def with_parts(p: Column) -> Column:
+        read = lambda *order: F.concat_ws("-", *[p[k] for k in order]).try_cast("date")
+        year_first = F.length(p[0]) == 4
+        sign, short = F.regexp_extract(m, "[-/.]", 0), F.least(*[F.length(p[k]) for k in range(3)]) == 1
 
+        def shown(s: Column) -> Column:
+            day = F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int"))
+            y, mm, d = F.date_format(day, "yyyy"), *[F.when(short, F.date_format(day, one)).otherwise(F.date_format(day, one * 2)) for one in "Md"]
+            joined = lambda a, b, c: F.concat(a, sign, b, sign, c)
+            return F.when(year_first, joined(y, mm, d)).when(read(2, 1, 0).isNotNull(), joined(d, mm, y)).otherwise(joined(mm, d, y))
 
-def _date(key: str, m: Column) -> Column:
-    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "MM.dd.yyyy"]
-    part = lambda a, n: F.substr(m, F.lit(a), F.lit(n))
-    iso = {"yyyy": (1, 4), "MM": (6, 2), "dd": (9, 2)}
-    out = None
-    for form in forms:
-        at = {p: (form.index(p) + 1, len(p)) for p in iso}
-        day = F.concat_ws("-", *[part(*at[p]) for p in ("yyyy", "MM", "dd")]).try_cast("date")
-        offset = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
-        mixed = permute(key, "date", F.floor(offset / DAYS[1]), offset % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]))
-        new = _let(mixed, _shown_day(form))
-        fits = m.rlike("^" + form.replace("yyyy", "[0-9]{4}").replace("MM", "[0-9]{2}").replace("dd", "[0-9]{2}").replace(".", r"\.") + "$") & day.isNotNull()
-        out = F.when(fits, new) if out is None else out.when(fits, new)
-    return out
+        def use(day: Column) -> Column:
+            offset = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
+            return F.when(day.isNotNull(), _let(permute(key, "date", F.floor(offset / DAYS[1]), offset % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1])), shown))
+
+        return _let(F.when(year_first, read(0, 1, 2)).otherwise(F.coalesce(read(2, 1, 0), read(2, 0, 1))), use)
+
+    return _let(F.split(m, "[-/.]"), with_parts)
 
 
 def _email(key: str, m: Column) -> Column:
@@ -196,9 +226,9 @@ def _email(key: str, m: Column) -> Column:
 
     def use(local: Column) -> Column:
         domain = F.substring_index(m, "@", -1)
-        words = F.translate(F.substr(F.regexp_replace(local, "[^a-z]", ""), F.lit(1), F.lit(26)), letters, digits)
-        new = _let(F.translate(permute_text(key, "email", words, 26), digits, letters), lambda w: _refill(local, "[a-z]", w))
-        numbers = permute_text(key, "email", F.substr(_digits(local), F.lit(1), F.lit(30)), 10)
+        words = F.translate(F.regexp_replace(local, "[^a-z]", ""), letters, digits)
+        new = _let(F.translate(_let(words, lambda w: _permute_blocks(key, "email", w, 26, 26)), digits, letters), lambda w: _refill(local, "[a-z]", w))
+        numbers = _let(_digits(local), lambda d: _permute_blocks(key, "email", d, 10, 30))
         return F.concat(_let(new, lambda x: _let(numbers, lambda d: _refill(x, "[0-9]", d))), F.lit("@"), domain)
 
     return _let(F.lower(F.substring_index(m, "@", 1)), use)
@@ -218,7 +248,13 @@ def pseudonym(key: str, m: Column) -> Column:
             value = F.when(k == name, make(key, m)) if value is None else value.when(k == name, make(key, m))
         return F.struct(k.alias("kind"), value.alias("value"))
 
-    return _let(kind, use)
+    def card_within(p: Column) -> Column:
+        """In groups that only look like an IBAN's a card is found as it is elsewhere."""
+        groups = F.regexp_extract(m, rf"^[A-Z]{{2}}[0-9]{{2}} .*?({PATTERNS['card']})", 1)
+        found = _let(groups, lambda g: _let(_card(key, g), lambda c: F.struct(F.lit("card").alias("kind"), F.replace(m, g, c).alias("value"))))
+        return F.when((p["kind"] == "iban") & p["value"].isNull() & (groups != ""), found).otherwise(p)
+
+    return _let(_let(kind, use), card_within)
 
 
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, keep: list[str] | None = None) -> DataFrame:
