@@ -68,3 +68,21 @@ def test_empty_table_and_large_templates(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         licenses.scan_licenses(empty(spark), templates={"big": ["x" * (licenses.TEMPLATE_BYTES + 1)]})
+
+
+def test_wrapped_notices(spark, tmp_path):
+    """As they stand in license files and in comments."""
+    rows = [
+        (1, "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"),
+        (2, "bsd", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:"),
+        (3, "gpl-3.0", " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by"),
+        (4, "isc", "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that"),
+        (5, None, "Permission is hereby " + "and so on " * 40 + "\ngranted, free of charge, " + "and so on " * 40 + "\nto any person obtaining a copy of"),
+    ]
+    docs = frame(spark, [(i, t) for i, _, t in rows])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = {r["doc_id"]: r["labels"].split(",") for r in queries.op7_licenses(spark, str(tmp_path)).collect()}
+    for i, label, _ in rows:
+        assert any(x.startswith(label) for x in labels[i]) if label else labels[i] == [""], (i, labels[i])
+    found = {r["doc_id"]: r["windows"] for r in licenses.scan_licenses(docs).collect()}
+    assert all(w["containment"] >= licenses.THRESHOLD for ws in found.values() for w in ws) and found[1][0]["start"] == 0

@@ -4,7 +4,8 @@ A block is a line of a text. Blocks and templates are sets of words. Template wo
 documents, counted over all of them (ties by the word). A block matches a template if it holds at least
 ``threshold`` of the template's words. Such a block holds one of the template's ``size - needed + 1`` rarest words (the
 prefix), has ``needed`` words itself (length), and, from where in the order the first shared word stands, enough
-template words are left (position). What passes is counted exactly.
+template words are left (position). What passes is counted exactly. Templates wrapped over lines are found in windows
+of as many words as the template has, which cross line ends.
 
 Nulls and empty texts have no words: no label, score 0. Templates are broadcast; they are checked against
 TEMPLATE_BYTES. Repeated rows are judged each on its own.
@@ -63,6 +64,7 @@ class Index:
                 if words:
                     ordered = sorted(words, key=lambda w: (counts.get(w, 0), w))
                     self.sets.append((label, words, ordered, max(1, math.ceil(threshold * len(words) - 1e-9))))
+        self.sizes = [len(words_of(t.encode())) for _, texts in sorted(templates.items()) for t in texts if words_of(t.encode())]
         self.prefix: dict[bytes, list[int]] = {}
         for k, (_, _, ordered, needed) in enumerate(self.sets):
             for word in ordered[: len(ordered) - needed + 1]:
@@ -81,6 +83,29 @@ class Index:
             if shared >= needed:
                 yield label, shared / len(words)
 
+    def windows(self, words: list[bytes]) -> Iterator[tuple[int, str, float]]:
+        """For each template that a window of its size matches, the first of its best ones: start, label, containment."""
+        every = set(words)
+        for k in {k for word in every & self.keys for k in self.prefix[word]}:
+            label, own, _, needed = self.sets[k]
+            if len(own & every) < needed:
+                continue
+            places = [i for i, word in enumerate(words) if word in own]
+            inside: dict[bytes, int] = {}
+            best, start, first = 0, 0, 0
+            for i in places:
+                inside[words[i]] = inside.get(words[i], 0) + 1
+                while places[first] <= i - self.sizes[k]:
+                    gone = words[places[first]]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    first += 1
+                if len(inside) > best:
+                    best, start = len(inside), places[first]
+            if best >= needed:
+                yield start, label, best / len(own)
+
 
 def _template_words(templates: dict[str, list[str]]) -> frozenset[bytes]:
     return frozenset(w for texts in templates.values() for t in texts for w in words_of(t.encode()))
@@ -110,7 +135,7 @@ def scan_licenses(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Per row: id, ``n_words``, ``phrases`` (array of label, start word), ``blocks`` (array of line from 0, label,
-    containment), in order of place."""
+    containment), in order of place, and ``windows`` (array of start word, label, containment)."""
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
     if sum(len(t.encode()) for texts in templates.values() for t in texts) > TEMPLATE_BYTES:
@@ -121,14 +146,15 @@ def scan_licenses(
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         found = index.value
-        n_words, places, blocks = [], [], []
+        n_words, places, blocks, windows = [], [], [], []
         for text in as_bytes(batch.column(1)):
             tokens = lines_and_words(text)
             words = [w for w in tokens if w != b"\x01"] if b"\x01" in tokens else tokens
             n_words.append(len(words))
             places.append(phrase_places(words, wanted))
-            here = []
+            here, wrapped = [], []
             if not found.keys.isdisjoint(words):
+                wrapped = [{"start": a, "label": b, "containment": s} for a, b, s in sorted(found.windows(words))]
                 line: set[bytes] = set()
                 number = 0
                 for token in [*tokens, b"\x01"]:
@@ -140,9 +166,10 @@ def scan_licenses(
                     line = set()
                     number += 1
             blocks.append(here)
-        yield {"key": batch.column(0), "n": n_words, "phrases": places, "blocks": blocks}
+            windows.append(wrapped)
+        yield {"key": batch.column(0), "n": n_words, "phrases": places, "blocks": blocks, "windows": windows}
 
-    schema = "key {key}, n_words long, phrases array<struct<label:string,start:long>>, blocks array<struct<line:long,label:string,containment:double>>"
+    schema = "key {key}, n_words long, phrases array<struct<label:string,start:long>>, blocks array<struct<line:long,label:string,containment:double>>, windows array<struct<start:long,label:string,containment:double>>"
     return map_texts(docs, id_col, text_col, schema, work).withColumnRenamed("key", id_col)
 
 

@@ -59,8 +59,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
         named(base).alias("base_labels"),
-        named(F.concat(base, F.col("blocks.label"))).alias("labels"),
-        F.greatest(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)), F.when(F.size("phrases") > 0, 1.0).otherwise(0.0)).alias("score"),
+        named(F.concat(base, F.col("blocks.label"), F.col("windows.label"))).alias("labels"),
+        F.greatest(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)), F.coalesce(F.array_max("windows.containment"), F.lit(0.0)), F.when(F.size("phrases") > 0, 1.0).otherwise(0.0)).alias("score"),
     )
 
 
