@@ -45,10 +45,13 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words stand in windows of benchmark items go."""
+    """Documents with a run of hit words as long as a window go, however long they are. Items of fewer words may be
+    in a text by chance: for those a twentieth of the document's words has to be hit."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs, benchmark, keep=docs.columns)
-    return found.where((F.col("n_hit") == 0) | (20 * F.col("n_hit") < F.col("n_words"))).select(*docs.columns)
+    whole = F.exists("spans", lambda s: s["to"] - s["from"] >= decontaminate.WINDOW)
+    some = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return found.where(~(whole | some)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
