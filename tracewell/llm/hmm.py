@@ -8,10 +8,14 @@ every word a probability.
 
 1.  Word counts over all training texts are aggregated per batch, then by word, and written.
 2.  Classes' totals are summed over that table.
-3.  Starting values come from a few rounds on START_TEXTS texts chosen by a hash (windows of START_TOKENS tokens), then
-    Baum-Welch rounds run over all training texts: each partition's expected counts are summed by state and class.
-4.  Scaled forward recursion gives each text's exact log likelihood. Counts of the KNOWN most frequent words are
-    broadcast; other words are joined with the table by word.
+3.  Every text is tokenised once more and written as its classes (two bytes a token) with the parts of its scores that
+    need no model. All later passes read that table, not the texts. Counts of the KNOWN most frequent words are
+    broadcast for this.
+4.  Starting values come from a few rounds on START_TEXTS texts chosen by a hash (windows of START_TOKENS tokens), then
+    Baum-Welch rounds run over all training texts, each partition's expected counts summed by state and class, until a
+    round raises the log10 likelihood of a token by less than SETTLED.
+5.  Scaled forward recursion gives each text's exact log likelihood. Words that aren't broadcast are joined with the
+    table of counts by word.
 
 A null text counts as empty: it has the end token alone. Rows with equal id and text are scored once and repeated.
 Without any training text every count is 0. An empty table gives no rows.
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, map_slices, map_texts
+from .common import as_bytes, cut, map_slices, map_texts, slices, written
 from .words import SPACE_TABLE, ranges
 
 STATES = 8
@@ -39,7 +43,8 @@ OWN = 4096
 SHAPES = 1024
 #: Words, at most, whose counts are broadcast.
 KNOWN = 200_000
-ROUNDS = 2
+#: Rounds end when one raises the log10 likelihood of a training token by less than this.
+SETTLED = 0.002
 START_TEXTS = 600
 START_TOKENS = 256
 START_ROUNDS = 12
@@ -49,6 +54,8 @@ TOKENS = 300_000
 COUNTED = 250_000
 #: Bytes of text that are tokens at once: a token takes several times its bytes.
 LOT = 5 << 20
+#: Bytes of classes that sequences are chosen from at once: the more, the more of them have like lengths.
+CLASS_LOT = 8 << 20
 END = b"\n"
 
 
@@ -211,11 +218,17 @@ def _parts(flat: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 def expected_counts(model: Model, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts of starts, moves and emissions (by class, then state)."""
+    return expect(model, flat, lengths)[:3]
+
+
+def expect(model: Model, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The same, and the log10 likelihood under ``model``."""
     k = len(model.start)
-    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
+    starts, moves, emits, likely = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0
     for _, part, size in _parts(flat, lengths):
         p = Packed(part, size)
         scales, states = forward(model, p, True)
+        likely += float(np.log10(scales).sum())
         weighted = model.emits[p.classes] / scales[:, None]
         at = p.at.tolist()
         active = p.active.tolist()
@@ -235,7 +248,7 @@ def expected_counts(model: Model, flat: np.ndarray, lengths: np.ndarray) -> tupl
         starts += states[: active[0]].sum(axis=0)
         for s in range(k):
             emits[:, s] += np.bincount(p.classes, weights=states[:, s], minlength=CLASSES)
-    return starts, moves, emits
+    return starts, moves, emits, likely
 
 
 def maximise(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> Model:
@@ -302,102 +315,134 @@ class _Shared:
         return self.broadcast.value
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, learn: Column, shared: _Shared, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    texts = docs.where(learn)
-    n = max(1, shared.value.ends)
-    hashed = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-    def windows(batch: pa.RecordBatch) -> Iterator[dict]:
-        coder, out = _coder(shared), []
-        for text in as_bytes(batch.column(1)):
-            _, classes, _ = coder(tokens_of(text))
-            at = max(0, (len(classes) - START_TOKENS) // 2)
-            out.append(classes[at : at + START_TOKENS].astype("<i4").tobytes())
-        yield {"classes": out}
-
-    rows = map_texts(texts.where(hashed < START_TEXTS / n), id_col, text_col, "classes binary", windows, most=LOT).collect()
-    model = start_model([np.frombuffer(c, "<i4").astype(np.int64) for c in sorted(bytes(r[0]) for r in rows)], states)
-    spark = docs.sparkSession
-    for _ in range(rounds if shared.value.ends else 0):
-        now = spark.sparkContext.broadcast(model)
-
-        def expect(batch: pa.RecordBatch, now=now) -> Iterator[dict]:
-            coder, parts = _coder(shared), []
-            for text in as_bytes(batch.column(1)):
-                parts.append(coder(tokens_of(text))[1])
-            if not parts:
-                return
-            lengths = np.array([len(p) for p in parts], np.int64)
-            counts = np.concatenate([x.ravel() for x in expected_counts(now.value, np.concatenate(parts), lengths)])
-            at = np.flatnonzero(counts > 1e-6)
-            yield {"at": pa.array(at.astype(np.int32)), "n": pa.array(counts[at])}
-
-        summed = map_texts(texts, id_col, text_col, "at int, n double", expect, most=LOT).groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros(states + states * states + CLASSES * states)
-        counts[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
-        model = maximise(counts[:states], counts[states : states + states**2].reshape(states, states), counts[states + states**2 :].reshape(CLASSES, states))
-    return model
+ENCODED = "key {key}, hash long, learn boolean, classes binary, tokens long, known long, base double, score double, words array<binary>, times array<bigint>"
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: id, ``n_tokens``, ``n_known`` (tokens with a count), ``train_tokens``, ``base_score`` (add-one unigram
-    model) and ``score`` (hidden Markov model), both log10 probabilities."""
-    learn = F.lit(True) if learn is None else learn
-    counts = count_tokens(docs, id_col, text_col, learn)
-    vocabulary = read_vocabulary(counts)
-    shared = _Shared(docs.sparkSession, vocabulary)
-    tokens, words = class_totals(counts, vocabulary.words[:OWN])
-    model = docs.sparkSession.sparkContext.broadcast((train(docs, id_col, text_col, learn, shared, states, rounds), np.log10(tokens + words + 1)))
-    scale = log10(vocabulary.total + vocabulary.distinct + 1)
+def encode_texts(docs: DataFrame, id_col: str, text_col: str, learn: Column, shared: _Shared, class_logs: np.ndarray) -> DataFrame:
+    """Per row: key, hash of the text, learn, its classes as 16-bit numbers, number of tokens, and, over the known words
+    alone, how many have a count and the sums that the base score and the score of words within classes need; then the
+    other words and how often the text has each. Written."""
+    logs_of_classes = docs.sparkSession.sparkContext.broadcast(class_logs)
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        coder, (hmm, class_logs) = _coder(shared), model.value
+        coder, vocabulary = _coder(shared), shared.value
+        scale = log10(vocabulary.total + vocabulary.distinct + 1)
         texts = [tokens_of(t) for t in as_bytes(batch.column(1))]
         if not texts:
             return
-        parts, others, base, known, score = [], [], [], [], []
-        for text in texts:
-            number, classes, away = coder(text)
-            here = number[number >= 0]
-            logs = coder.logs[here]
-            shaped = classes > OWN
-            base.append(float(logs.sum()) - len(text) * scale)
-            known.append(int((coder.counts[here] > 0).sum()))
-            score.append(float(logs[coder.classes[here] > OWN].sum() - class_logs[classes[shaped] - 1 - OWN].sum()))
-            parts.append(classes)
-            others.append(Counter(away))
-        lengths = np.array([len(p) for p in parts], np.int64)
-        score = np.array(score) + log_likelihoods(hmm, np.concatenate(parts), lengths)
-        # One row of its own for each text, with a word that no text has, and one for each of its other words.
-        size = np.array([len(o) for o in others], np.int64)
-        n = len(texts)
-        row = np.concatenate([np.arange(n), np.repeat(np.arange(n), size)])
-        none = [None] * int(size.sum())
-        heads = [END + k.to_bytes(4, "big") + t.to_bytes(8, "big", signed=True) for k, t in enumerate(batch.column(2).to_pylist())]
-        taken = pa.array(row)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(size) - size
+        number, classes, away = coder([w for t in texts for w in t])
+        del texts
+        seen = number >= 0
+        logs = np.where(seen, coder.logs[number], 0.0)
+        shaped = np.flatnonzero(classes > OWN)
+        within = np.zeros(len(classes))
+        within[shaped] = logs[shaped] - logs_of_classes.value[classes[shaped] - 1 - OWN]
+        stored = classes.astype("<u2").tobytes()
+        others = np.concatenate([[0], np.cumsum(np.add.reduceat((~seen).astype(np.int64), first))]).tolist()
+        counted = [Counter(away[a:b]) if b > a else {} for a, b in zip(others, others[1:])]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counted])]).astype(np.int32))
         yield {
-            "key": batch.column(0).take(taken),
-            "hash": batch.column(2).take(taken),
-            "word": pa.array([*heads, *(w for o in others for w in o)], pa.binary()),
-            "n": pa.array([0] * n + [c for o in others for c in o.values()], pa.int64()),
-            "tokens": pa.array([*lengths.tolist(), *none], pa.int64()),
-            "known": pa.array([*known, *none], pa.int64()),
-            "base": pa.array([*base, *none], pa.float64()),
-            "score": pa.array([*score.tolist(), *none], pa.float64()),
+            "key": batch.column(0),
+            "hash": batch.column(2),
+            "learn": batch.column(3),
+            "classes": pa.array([stored[2 * a : 2 * (a + n)] for a, n in zip(first.tolist(), size.tolist())], pa.binary()),
+            "tokens": size,
+            "known": np.add.reduceat((seen & (coder.counts[number] > 0)).astype(np.int64), first),
+            "base": np.add.reduceat(logs, first) - size * scale,
+            "score": np.add.reduceat(within, first),
+            "words": pa.ListArray.from_arrays(offsets, pa.array([w for c in counted for w in c], pa.binary())),
+            "times": pa.ListArray.from_arrays(offsets, pa.array([n for c in counted for n in c.values()], pa.int64())),
         }
 
-    schema = "key {key}, hash long, word binary, n long, tokens long, known long, base double, score double"
     text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    rows = map_texts(docs, id_col, text_col, schema, work, {"hash": text_hash}, LOT)
-    joined = rows.join(counts.hint("merge"), "word", "left")
-    summed = joined.groupBy("key", "hash").agg(
-        F.count("tokens").alias("times"),
-        F.max("tokens").alias("n_tokens"),
-        F.max("known").alias("known"),
-        F.max("base").alias("base"),
-        F.max("score").alias("score"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"),
-        F.sum(F.when(F.col("c") > 0, F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("logs"),
+    return written(map_texts(docs, id_col, text_col, ENCODED, work, {"hash": text_hash, "learn": F.coalesce(learn, F.lit(False))}, LOT), "hmm")
+
+
+def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all texts one after another, and how many each has."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), "<u2").astype(np.int64), np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+
+
+def start_sequences(encoded: DataFrame, n: int) -> list[np.ndarray]:
+    """The middles of about START_TEXTS of n training texts, in an order that doesn't depend on partitions."""
+    hashed = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    middle = F.greatest(F.lit(0), F.floor((F.col("tokens") - START_TOKENS) / 2)) * 2 + 1
+    rows = encoded.where(F.col("learn") & (hashed < START_TEXTS / max(1, n))).select(F.substring("classes", middle.cast("int"), F.lit(2 * START_TOKENS))).collect()
+    return [np.frombuffer(c, "<u2").astype(np.int64) for c in sorted(bytes(r[0]) for r in rows)]
+
+
+def baum_welch(encoded: DataFrame, model: Model) -> tuple[Model, float]:
+    """The model after a round over all training texts, and the log10 likelihood before it. A task gives one row for each
+    count that isn't zero, whatever the number of its texts."""
+    states = len(model.start)
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(states + states * states + CLASSES * states + 1)
+        for whole in batches:
+            for batch in slices(whole, "classes", CLASS_LOT):
+                starts, moves, emits, likely = expect(shared.value, *_sequences(batch.column(0)))
+                total += np.concatenate([starts, moves.ravel(), emits.ravel(), [likely]])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+
+    parts = encoded.where("learn").select("classes").mapInArrow(run, "at int, n double")
+    summed = parts.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(states + states * states + CLASSES * states + 1)
+    counts[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
+    moves = counts[states : states + states**2].reshape(states, states)
+    return maximise(counts[:states], moves, counts[states + states**2 : -1].reshape(CLASSES, states)), float(counts[-1])
+
+
+def train(encoded: DataFrame, texts: int, tokens: int, states: int = STATES, settled: float = SETTLED) -> tuple[Model, list[float]]:
+    """The model, and the log10 likelihood of a training token before each round. texts, tokens: of the training texts."""
+    model, likely = start_model(start_sequences(encoded, texts), states), []
+    while texts:
+        model, total = baum_welch(encoded, model)
+        likely.append(total / tokens)
+        if len(likely) > 1 and likely[-1] - likely[-2] < settled:
+            break
+    return model, likely
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, states: int = STATES, settled: float = SETTLED) -> DataFrame:
+    """Per row: id, ``n_tokens``, ``n_known`` (tokens with a count), ``train_tokens``, ``base_score`` (add-one unigram
+    model) and ``score`` (hidden Markov model), both log10 probabilities."""
+    learn = F.lit(True) if learn is None else learn
+    counts = count_tokens(docs, id_col, text_col, learn)
+    vocabulary = read_vocabulary(counts)
+    tokens, words = class_totals(counts, vocabulary.words[:OWN])
+    encoded = encode_texts(docs, id_col, text_col, learn, _Shared(docs.sparkSession, vocabulary), np.log10(tokens + words + 1))
+    model, _ = train(encoded, vocabulary.ends, vocabulary.total, states, settled)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batch: pa.RecordBatch) -> Iterator[list]:
+        if batch.num_rows:
+            likely = log_likelihoods(shared.value, *_sequences(batch.column(0)))
+            yield [*batch.columns[1:-1], pa.array(batch.column(batch.num_columns - 1).to_numpy() + likely)]
+
+    kind = dict(encoded.dtypes)["key"]
+    schema = f"key {kind}, hash long, tokens long, known long, base double, score double"
+    heads = map_slices(encoded.select("classes", "key", "hash", "tokens", "known", "base", "score"), "classes", schema, work, CLASS_LOT)
+    others = encoded.select("key", "hash", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("n"))))
+    joined = others.join(counts.hint("merge"), "word").where("c > 0")
+    nothing = lambda *names: [F.lit(None).cast("double" if n in ("base", "score", "logs") else "long").alias(n) for n in names]
+    summed = (
+        heads.select("*", *nothing("more", "logs"))
+        .unionByName(joined.select("key", "hash", *nothing("tokens", "known", "base", "score"), F.col("n").alias("more"), (F.col("n") * F.log10(F.col("c") + 1)).alias("logs")))
+        .groupBy("key", "hash")
+        .agg(
+            F.count("tokens").alias("times"),
+            F.max("tokens").alias("n_tokens"),
+            F.max("known").alias("known"),
+            F.max("base").alias("base"),
+            F.max("score").alias("score"),
+            F.coalesce(F.sum("more"), F.lit(0)).alias("more"),
+            F.coalesce(F.sum("logs"), F.lit(0.0)).alias("logs"),
+        )
     )
     each = summed.select("*", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_"))
     return each.select(
