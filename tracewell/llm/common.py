@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 #: Rows of a batch are handed on in slices of at most about this many bytes of text.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
@@ -32,9 +32,12 @@ def remainder(id_col: Column, modulus: int) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it names none, as in tests, one in the
-    warehouse."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it names none, as in tests, one in the
+    warehouse, but only in local mode: elsewhere that may be a folder of one machine. Tables stay there until the folder
+    is emptied, as a result may be computed again at any time."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
@@ -82,6 +85,7 @@ def map_slices(frame: DataFrame, text: str, schema: str, work: Callable[[pa.Reco
                         for f, v in zip(target, out, strict=True)
                     ]
                     yield pa.RecordBatch.from_arrays(columns, schema=target)
+            pa.default_memory_pool().release_unused()  # workers live on and share their executor's memory
 
     return frame.mapInArrow(run, schema)
 

@@ -23,20 +23,19 @@ Without any training text every count is 0. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 from math import log10
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, map_slices, map_texts, slices, written
-from .words import SPACE_TABLE, ranges
+from .common import cut, map_slices, map_texts, slices, written
+from .words import byte_offsets, ranges, split_words
 
 STATES = 8
 OWN = 4096
@@ -50,33 +49,30 @@ START_TOKENS = 256
 START_ROUNDS = 12
 #: Tokens whose state probabilities are in memory at once, but for one longer text.
 TOKENS = 300_000
-#: Words in a batch's counts before they are handed on.
-COUNTED = 250_000
 #: Bytes of text that are tokens at once: a token takes several times its bytes.
-LOT = 5 << 20
+LOT = 6 << 20
 #: Bytes of classes that sequences are chosen from at once: the more, the more of them have like lengths.
-CLASS_LOT = 8 << 20
+CLASS_LOT = 6 << 20
 END = b"\n"
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return [*text.translate(SPACE_TABLE).split(), END]
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """Classes, from 0, of words that have none of their own."""
+    data, offsets = byte_offsets(words)
+    first, end = offsets[:-1], offsets[1:]
+    length = end - first
+    at = np.full(len(words), 2166136261, np.uint64)
+    mixed = lambda c: (at ^ c.astype(np.uint64)) * np.uint64(16777619) & np.uint64(0xFFFFFFFF)
+    if len(words):
+        at = mixed(np.minimum(length, 12))
+        at = mixed(np.minimum(data[first], 128))
+        for back in (3, 2, 1):
+            at = np.where(length >= back, mixed(data[np.maximum(end - back, 0)]), at)
+    return ((at >> np.uint64(7)) % np.uint64(SHAPES)).astype(np.int64)
 
 
 def shape_of(word: bytes) -> int:
-    """Class of a word that has none of its own, from 0."""
-    at = 2166136261
-    for c in (min(len(word), 12), word[0] if word[0] < 128 else 128, *word[-3:]):
-        at = (at ^ c) * 16777619 & 0xFFFFFFFF
-    return (at >> 7) % SHAPES
-
-
-class Shapes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = 1 + OWN + shape_of(word)
-        if len(self) < 100_000:
-            self[word] = value
-        return value
+    return int(shapes_of(pa.array([word], pa.binary()))[0])
 
 
 @dataclass
@@ -91,7 +87,7 @@ class Vocabulary:
 
     def classes(self) -> np.ndarray:
         own = min(OWN, len(self.words))
-        return np.array([*range(1, own + 1), *(1 + OWN + shape_of(w) for w in self.words[own:])], np.int64)
+        return np.concatenate([np.arange(1, own + 1), 1 + OWN + shapes_of(pa.array(self.words[own:], pa.binary()))])
 
 
 @dataclass
@@ -108,13 +104,9 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str, learn: Column) ->
     """word, c over the training texts, written; the end is among them."""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        counts: Counter = Counter()
-        for text in as_bytes(batch.column(1)):
-            counts.update(tokens_of(text))
-            if len(counts) > COUNTED:
-                yield {"word": list(counts), "n": list(counts.values())}
-                counts = Counter()
-        yield {"word": list(counts), "n": list(counts.values())}
+        counted = split_words(batch.column(1))[0].value_counts()
+        yield {"word": counted.field(0), "n": counted.field(1)}
+        yield {"word": [END], "n": [batch.num_rows]}
 
     return cut(map_texts(docs.where(learn), id_col, text_col, "word binary, n long", work, most=LOT).groupBy("word").agg(F.sum("n").alias("c")))
 
@@ -140,17 +132,16 @@ def read_vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
 
 def class_totals(counts: DataFrame, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and words of each shape class; as many rows as classes."""
-    shared = counts.sparkSession.sparkContext.broadcast(frozenset([*own, END]))
+    shared = counts.sparkSession.sparkContext.broadcast([*own, END])
 
     def work(batch: pa.RecordBatch) -> Iterator[list]:
-        out, tokens, words = shared.value, np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
-        for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if word not in out:
-                k = shape_of(word)
-                tokens[k] += c
-                words[k] += 1
+        away = pc.invert(pc.is_in(batch.column(0), pa.array(shared.value, pa.binary())))
+        shapes = shapes_of(batch.column(0).filter(away))
+        words = np.bincount(shapes, minlength=SHAPES)
+        tokens = np.zeros(SHAPES, np.int64)
+        np.add.at(tokens, shapes, batch.column(1).filter(away).to_numpy(zero_copy_only=False))
         k = np.flatnonzero(words)
-        yield [k.tolist(), tokens[k].tolist(), words[k].tolist()]
+        yield [k, tokens[k], words[k]]
 
     summed = map_slices(counts, "word", "k int, tokens long, words long", work).groupBy("k").agg(F.sum("tokens").alias("t"), F.sum("words").alias("w"))
     tokens, words = np.zeros(SHAPES), np.zeros(SHAPES)
@@ -273,25 +264,27 @@ def start_model(sequences: list[np.ndarray], states: int = STATES, seed: int = 1
 
 
 class Coder:
-    """Texts as classes, by the broadcast vocabulary."""
+    """Words as numbers and classes, by the broadcast vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.number = {w: k for k, w in enumerate(vocabulary.words)}
-        self.number[END] = len(vocabulary.words)
-        self.classes = np.concatenate([vocabulary.classes(), [0]]).astype(np.int64)
-        self.counts = np.concatenate([vocabulary.counts, [vocabulary.ends]])
-        self.logs = np.log10(self.counts + 1)
-        self.shapes = Shapes()
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Number (-1: not among the known words), class, and the words that aren't known."""
-        number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        classes = self.classes[number]
-        away = np.flatnonzero(number < 0).tolist()
-        others = [words[k] for k in away]
-        if away:
-            classes[away] = [self.shapes[w] for w in others]
-        return number, classes, others
+        self.words = pa.array(vocabulary.words, pa.binary())
+        self.classes = vocabulary.classes()
+        self.logs = np.log10(vocabulary.counts + 1)
+        self.end_log, self.end_known = log10(vocabulary.ends + 1), int(vocabulary.ends > 0)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of each word its class and log10(count + 1), 0 if its count isn't known; which those are, their numbers in the
+        list of different ones, and that list."""
+        found = pc.index_in(words, self.words)
+        away = np.flatnonzero(pc.is_null(found).to_numpy(zero_copy_only=False))
+        number = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)
+        some = len(self.classes) > 0
+        classes, logs = (self.classes[number], self.logs[number]) if some else (np.zeros(len(number), np.int64), np.zeros(len(number)))
+        others = words.take(pa.array(away)).dictionary_encode()
+        which = others.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        classes[away] = (1 + OWN + shapes_of(others.dictionary))[which]
+        logs[away] = 0.0
+        return classes, logs, away, which, others.dictionary
 
 
 _CODERS: dict[str, Coder] = {}
@@ -327,33 +320,32 @@ def encode_texts(docs: DataFrame, id_col: str, text_col: str, learn: Column, sha
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         coder, vocabulary = _coder(shared), shared.value
         scale = log10(vocabulary.total + vocabulary.distinct + 1)
-        texts = [tokens_of(t) for t in as_bytes(batch.column(1))]
-        if not texts:
+        words, size = split_words(batch.column(1))
+        n = len(size)
+        if not n:
             return
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        first = np.cumsum(size) - size
-        number, classes, away = coder([w for t in texts for w in t])
-        del texts
-        seen = number >= 0
-        logs = np.where(seen, coder.logs[number], 0.0)
+        classes, logs, away, which, others = coder(words)
+        owner = np.repeat(np.arange(n), size)
         shaped = np.flatnonzero(classes > OWN)
-        within = np.zeros(len(classes))
-        within[shaped] = logs[shaped] - logs_of_classes.value[classes[shaped] - 1 - OWN]
-        stored = classes.astype("<u2").tobytes()
-        others = np.concatenate([[0], np.cumsum(np.add.reduceat((~seen).astype(np.int64), first))]).tolist()
-        counted = [Counter(away[a:b]) if b > a else {} for a, b in zip(others, others[1:])]
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counted])]).astype(np.int32))
+        within = logs[shaped] - logs_of_classes.value[classes[shaped] - 1 - OWN]
+        summed = lambda at, x: np.bincount(owner[at], weights=x, minlength=n)
+        # Each text's end follows its words, in class 0.
+        stored = np.zeros(len(classes) + n, np.uint16)
+        stored[np.arange(len(classes)) + owner] = classes
+        ends = np.cumsum(2 * (size + 1))
+        pairs, times = np.unique(owner[away] * max(1, len(others)) + which, return_counts=True)
+        rows = np.searchsorted(pairs, np.arange(n + 1) * max(1, len(others))).astype(np.int32)
         yield {
             "key": batch.column(0),
             "hash": batch.column(2),
             "learn": batch.column(3),
-            "classes": pa.array([stored[2 * a : 2 * (a + n)] for a, n in zip(first.tolist(), size.tolist())], pa.binary()),
-            "tokens": size,
-            "known": np.add.reduceat((seen & (coder.counts[number] > 0)).astype(np.int64), first),
-            "base": np.add.reduceat(logs, first) - size * scale,
-            "score": np.add.reduceat(within, first),
-            "words": pa.ListArray.from_arrays(offsets, pa.array([w for c in counted for w in c], pa.binary())),
-            "times": pa.ListArray.from_arrays(offsets, pa.array([n for c in counted for n in c.values()], pa.int64())),
+            "classes": pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(stored.astype("<u2"))]),
+            "tokens": size + 1,
+            "known": size - np.bincount(owner[away], minlength=n) + coder.end_known,
+            "base": summed(slice(None), logs) + coder.end_log - (size + 1) * scale,
+            "score": summed(shaped, within),
+            "words": pa.ListArray.from_arrays(pa.array(rows), others.take(pa.array(pairs % max(1, len(others))))),
+            "times": pa.ListArray.from_arrays(pa.array(rows), pa.array(times)),
         }
 
     text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Lower-cases A-Z and turns bytes that belong to no word into spaces.
 WORD_TABLE = bytes(
@@ -23,6 +25,29 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 SPACE_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def split_words(column: pa.Array, table: bytes = SPACE_TABLE) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another (binary), and how many each text has, without a Python object for each.
+    The bytes of the texts go through ``table`` and are cut at 0x20 and 0x09 to 0x0D; a null text has no words."""
+    texts = pc.fill_null(column.cast(pa.binary()), b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]]).translate(table)
+    plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(data))
+    lists = pc.ascii_split_whitespace(plain)
+    flat = lists.flatten().cast(pa.binary())
+    some = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    return flat.filter(some), np.diff(before[ends])
+
+
+def byte_offsets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary array without nulls, and where its words begin and the last one ends."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8), offsets.astype(np.int64)
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
