@@ -10,21 +10,23 @@ Nulls and texts without words give no window and no hit. Items with equal texts
 are judged each on its own. Items are numbered by their id as given; rows with the same item id count as one item.
 
 The index of the items is broadcast in blocks of at most BLOCK_BYTES of item text, so a broadcast's size is bounded
-whatever the size of the benchmark; each block is joined with all documents.
+whatever the size of the benchmark. Blocks are read, indexed and let go one after another; each is joined with all
+documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_slices, map_texts
-from .words import encode, ranges, shingle_codes, words_of
+from .common import map_slices, map_texts
+from .words import WORD_TABLE, ranges, shingle_codes, split_words, words_of
 
 WINDOW = 13
 SHINGLE = 5
@@ -112,11 +114,12 @@ def find_windows(ids: np.ndarray, bounds: np.ndarray, groups: list[Windows]) ->
     return join(starts), join(lengths), join(owners)
 
 
-def _words_of_batch(texts: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [encode(words_of(t), vocabulary) for t in texts]
-    bounds = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=bounds[1:])
-    return (np.concatenate(parts) if parts else np.empty(0, np.int64)), bounds
+def _words_of_batch(texts: pa.Array, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words, 0 for those that no item has, and where texts begin and end in them."""
+    words, sizes = split_words(texts, WORD_TABLE)
+    found = pc.index_in(words, pa.array(vocabulary, pa.binary()))
+    ids = pc.add(pc.fill_null(found, -1), 1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def _rarity(docs: DataFrame, id_col: str, text_col: str, index) -> dict[tuple[int, int], int]:
@@ -124,7 +127,7 @@ def _rarity(docs: DataFrame, id_col: str, text_col: str, index) -> dict[tuple[in
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         vocabulary, groups = index.value
-        ids, bounds = _words_of_batch(as_bytes(batch.column(1)), vocabulary)
+        ids, bounds = _words_of_batch(batch.column(1), vocabulary)
         edge = np.zeros(len(ids) + 1, np.int64)
         edge[bounds] = 1
         document = np.cumsum(edge)
@@ -175,7 +178,7 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _matched(batch: pa.RecordBatch, index) -> Iterator[dict]:
     """Adds a block's occurrences to the columns spans and items (the last two) of a slice."""
     vocabulary, groups, item_ids = index.value
-    ids, bounds = _words_of_batch(as_bytes(batch.column(1)), vocabulary)
+    ids, bounds = _words_of_batch(batch.column(1), vocabulary)
     starts, lengths, owners = find_windows(ids, bounds, groups)
     spans, items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
     if len(starts):
@@ -215,27 +218,63 @@ def find_contamination(
         *[F.col(f"`{k}`").alias(f"_keep{n}") for n, k in enumerate(kept)],
         F.array().cast("array<struct<from:bigint,to:bigint>>").alias("spans"), F.array().cast(f"array<{item_kind}>").alias("items"),
     )
-    held = frame.columns
-    for block in [*_blocks(benchmark, item_id, item_text, block_bytes)] or [[]]:
-        by_id: dict = {}
-        for i, t in block:
-            by_id.setdefault(i, []).append(words_of((t or "").encode()))
-        item_ids = list(by_id)
-        owner = np.array([k for k, i in enumerate(item_ids) for _ in by_id[i]])
-        vocabulary, groups = build_windows([words for i in item_ids for words in by_id[i]], window)
-        for g in groups:
-            g.items = owner[g.items]
-        order_windows(groups, _rarity(docs, id_col, text_col, spark.sparkContext.broadcast((vocabulary, groups))) if groups else {})
-        index = spark.sparkContext.broadcast((vocabulary, groups, item_ids))
-        frame = frame.select(*held)
-        frame = map_slices(frame, "_text", frame.schema.simpleString()[7:-1] + ",n_words:bigint", _adder(index))
+    held, passes = frame.columns, 0
+    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+        frame = _with_block(frame.select(*held), block, window, lambda index: _rarity(docs, id_col, text_col, index), spark)
+        passes += 1
+    if not passes:
+        frame = _with_block(frame, [], window, lambda index: {}, spark)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return frame.select(*[F.col(f"_keep{n}").alias(k) for n, k in enumerate(kept)], "n_words", hit.alias("n_hit"), "spans", F.array_distinct("items").alias("items"))
 
 
+def _with_block(frame: DataFrame, block: list[tuple], window: int, rarity: Callable, spark: SparkSession) -> DataFrame:
+    """The rows with a block's occurrences added. Nothing of the block stays in the driver but its broadcast's file."""
+    by_id: dict = {}
+    for i, t in block:
+        by_id.setdefault(i, []).append(words_of((t or "").encode()))
+    item_ids = list(by_id)
+    owner = np.array([k for k, i in enumerate(item_ids) for _ in by_id[i]])
+    numbers, groups = build_windows([words for i in item_ids for words in by_id[i]], window)
+    vocabulary = list(numbers)
+    for g in groups:
+        g.items = owner[g.items]
+    order_windows(groups, rarity(spark.sparkContext.broadcast((vocabulary, groups))) if groups else {})
+    index = spark.sparkContext.broadcast((vocabulary, groups, item_ids))
+    return map_slices(frame, "_text", frame.schema.simpleString()[7:-1] + ",n_words:bigint", _adder(index))
+
+
 def _adder(index):
     def work(batch: pa.RecordBatch) -> Iterator[list]:
         for out in _matched(batch, index):
             yield [*batch.columns[:-2], out["spans"], out["items"], out["words"]]
 
     return work
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """DuckDB SQL of the registered query."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+    return f"""
+WITH doc AS (
+  SELECT doc_id, {words} AS w FROM documents
+), item AS (
+  SELECT item_id, w, least(len(w), {window}) AS size FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0
+), wanted AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[k : k + size - 1], ' ') AS s FROM item, unnest(range(1, len(w) - size + 2)) AS r(k)
+), sizes AS (
+  SELECT DISTINCT size FROM wanted
+), held AS (
+  SELECT doc_id, k, size, array_to_string(w[k : k + size - 1], ' ') AS s
+  FROM doc, sizes, unnest(range(1, greatest(len(w) - size + 2, 1))) AS r(k)
+), hits AS (
+  SELECT doc_id, k, held.size, item_id FROM held JOIN wanted ON held.size = wanted.size AND held.s = wanted.s
+), counted AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM (SELECT DISTINCT doc_id, k, size FROM hits)) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id
+)
+SELECT doc.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
