@@ -64,10 +64,24 @@ def test_query_on_the_whole_small_table(spark, sf_mid):
         assert r["labels"] == ",".join(sorted({p for _, p in places} | {b for _, b, _ in blocks})) and 0 <= r["score"] <= 1
 
 
-def test_empty_table_and_large_templates(spark):
+def test_empty_table(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
-    with pytest.raises(ValueError):
-        licenses.scan_licenses(empty(spark), templates={"big": ["x" * (licenses.TEMPLATE_BYTES + 1)]})
+    assert {r["n_words"] for r in licenses.scan_licenses(frame(spark, [(1, "a b")]), templates={}).collect()} == {2}
+
+
+def test_templates_in_several_blocks_and_as_a_table(spark):
+    rows = [*nasty_rows(), *NOTICES]
+    shown = lambda df: sorted(repr(r.asDict(True)) for r in df.collect())
+    whole = shown(licenses.scan_licenses(frame(spark, rows)))
+    assert shown(licenses.scan_licenses(frame(spark, rows, True), block_bytes=100)) == whole
+    table = spark.createDataFrame([(label, t) for label, texts in licenses.TEMPLATES.items() for t in texts] + [("none", None), (None, "x")], "name string, body string")
+    assert shown(licenses.scan_licenses(frame(spark, rows), templates=table, block_bytes=300)) == whole
+
+
+def test_many_places_of_a_phrase():
+    words = [b"cc", b"by"] * 200_000
+    places = licenses.phrase_places(words, [(b"cc by", "cc-by")])
+    assert [p["start"] for p in places] == list(range(0, 400_000, 2))
 
 
 def test_wrapped_notices(spark, tmp_path):
