@@ -3,7 +3,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 from tracewell.llm import packing, queries
 
@@ -12,6 +16,9 @@ from .cases import empty, frame, nasty_rows
 TOKENIZER = Tokenizer.from_file(packing.tokenizer_path())
 
 
+IDS = packing.Ids(open(packing.tokenizer_path(), "rb").read())
+
+
 def ids_of(text):
     return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0]
 
@@ -19,10 +26,37 @@ def ids_of(text):
 ODD = ["a  b   c ", " lead", "x\n\n  y\t z", "<|endoftext|> inside", "it's we'll I'M 'sa", "１２３ 漢字  ☃️ é", "   a", "a b  c", "no\x00null", "ends with space ", "…   …", "A1b2 C3-d4_e5 ﬁ ǅ ², ³"]
 
 
-def test_ids_equal_the_tokenizers():
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_equal_the_tokenizers(name):
+    path = public_tokenizers.path(name)
+    own, ids = Tokenizer.from_file(path), packing.Ids(open(path, "rb").read())
+    texts = [*ODD, None, "", *(t or "" for _, t in nasty_rows()), "a\u00a0 \u00a0b \u3000c \u2003 d \u0085 e", " ", "  ", "x " * 3 + "\n y", "é é  é\t é"]
+    want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    column = pa.array(["left out", *texts, "left out"]).slice(1, len(texts))
+    for _ in range(2):
+        got, sizes = ids(column)
+        assert sizes.tolist() == [len(w) for w in want] and got.tolist() == [x for w in want for x in w]
+
+
+@given(st.lists(st.text(st.sampled_from(" \n\t\r\u00a0\u2003\u3000\u0085\x1cab'1s.é漢<|>"), max_size=30), max_size=6))
+def test_ids_of_any_texts(texts):
+    got, sizes = IDS(pa.array(texts, pa.string()))
+    assert got.tolist() == [x for t in texts for x in ids_of(t)[:-1]] and len(sizes) == len(texts)
+
+
+def test_forgetting(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
     ids = packing.Ids(open(packing.tokenizer_path(), "rb").read())
-    for text in [*ODD, *(t or "" for _, t in nasty_rows())]:
-        assert np.frombuffer(ids(text), "<u4").tolist() == ids_of(text)[:-1], text[:80]
+    for t in ODD * 2:
+        assert ids(pa.array([t]))[0].tolist() == ids_of(t)[:-1] and len(ids.known) <= max(5, len(t))
+
+
+@pytest.mark.parametrize("capacity", [30, 64])
+def test_lengths_whose_bins_are_rarely_full(spark, capacity):
+    """Pieces of a third to a half of the capacity: exchanges end when they help no more, and nothing is lost."""
+    rng = np.random.default_rng(3)
+    rows = [(k, "a " * int(rng.integers(capacity // 3, capacity // 2))) for k in range(600)]
+    check(rows, packing.pack(frame(spark, rows), capacity=capacity, partition_pieces=40).collect(), capacity)
 
 
 def check(rows, got, capacity):

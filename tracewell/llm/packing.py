@@ -5,7 +5,8 @@ which the first may be shorter. Pieces are dealt evenly to partitions of about P
 best-fit decreasing and compared with a lower bound from dual feasible functions. A partition that meets its bound is
 certified: only its emptiest sequence stays open. One with a gap keeps its full sequences and opens the others. The
 pieces of open sequences are exchanged, that is dealt anew to fewer partitions, and packed again, until all of them fit
-one partition. Sequences are numbered by round, partition and place.
+one partition or an exchange no longer lowers the number of sequences beyond the partitions' bounds; ``partition_bins``
+and ``partition_bound`` tell what was left then. Sequences are numbered by round, partition and place.
 
 A null or empty text is the end id alone. Repeated rows are packed each on its own; null ids are kept. An empty table
 gives no rows. The rows of a partition are bounded by PARTITION_PIECES, and only counts reach the driver.
@@ -14,8 +15,6 @@ gives no rows. The rows of a partition are bounded by PARTITION_PIECES, and only
 from __future__ import annotations
 
 import json
-import re
-import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -23,19 +22,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts
+from .words import byte_offsets, ranges
 
 CAPACITY = 2048
 PARTITION_PIECES = 4096
-#: Rounds after which what is still open stays as it is.
-ROUNDS = 12
-#: Parts of text whose ids a worker remembers, at most twice as many.
-CACHE_ENTRIES = 150_000
-END = b"\0\0\0\0"
+#: Bytes of text whose ids are in memory at once.
+LOT = 8 << 20
+#: Different parts of text whose ids a worker remembers, but for those of one lot.
+REMEMBERED = 300_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes that can't begin white space: neither ASCII white space and separators nor the first byte of other white space.
+_SOLID = np.array([c not in {32, *range(9, 14), *range(28, 32), 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3} for c in range(256)])
+#: ASCII letters, and ASCII characters that aren't letters.
+_LETTER = np.array([65 <= c <= 90 or 97 <= c <= 122 for c in range(256)])
+_OTHER = ~_LETTER & (np.arange(256) < 128)
 
 
 def tokenizer_path() -> str:
@@ -44,59 +49,124 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-assert sys.byteorder == "little" and array("I").itemsize == 4
+def byte_ranks(content: dict) -> dict[bytes, int] | None:
+    """Ids of byte strings by which merging the pair of least id gives what the file's merges give; None if they may differ.
+
+    That holds if ids rise along the merges and if each merged string, taken alone and with lower ids only, ends as the
+    very pair that its merge names: what stands around a string can't change how it is merged inside.
+    """
+    model, added = content["model"], {t["content"] for t in content.get("added_tokens") or []}
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    alphabet = {chr(c): c for c in shown} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in shown)}
+    try:
+        ranks = {bytes(alphabet[c] for c in w): i for w, i in model["vocab"].items() if w not in added}
+        pairs = [tuple(bytes(alphabet[c] for c in w) for w in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    except KeyError:
+        return None
+    ids = [ranks.get(a + b, -1) for a, b in pairs]
+    if min(ids, default=0) < 0 or any(a >= b for a, b in zip(ids, ids[1:])) or len(set(ids)) + 256 != len(ranks) or not all(bytes([c]) in ranks for c in range(256)):
+        return None
+    for (a, b), top in zip(pairs, ids, strict=True):
+        parts = [bytes([c]) for c in a + b]
+        while len(parts) > 2:
+            least, k = min((ranks.get(parts[k] + parts[k + 1], top), k) for k in range(len(parts) - 1))
+            if least >= top:
+                return None
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if parts != [a, b]:
+            return None
+    return ranks
 
 
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit numbers; equal to the tokenizer file's own.
+    """Token ids of many texts at once, equal to those of the file's own tokenizer.
 
-    The file's byte-level split never puts a space behind other characters into one piece, so a text can be cut before
-    every single space that no white space follows, and the parts' ids are remembered. Texts with other runs of spaces
-    go through as a whole; texts with a special token's string go to the file's own tokenizer.
+    A byte-level split never puts a space that no white space follows, or a sign after a letter, into one piece with what
+    stands before it. With a file whose ids come from such a split alone, texts are therefore cut there, each different
+    part is encoded once, and parts' ids are remembered. Texts with the string of an added token, and all texts with any other file,
+    are one part each. Parts go to the file's own tokenizer, but for those of characters below U+0500 where ``byte_ranks``
+    shows that a quicker coder with the same split gives the same ids.
     """
 
     def __init__(self, file: bytes) -> None:
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_buffer(file)
         content = json.loads(file)
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        alphabet = {chr(c): c for c in shown} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in shown)}
-        special = {t["content"] for t in content["added_tokens"]}
-        ranks = {bytes(map(alphabet.__getitem__, w)): i for w, i in content["model"]["vocab"].items() if w not in special}
-        coding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = re.compile("|".join(map(re.escape, sorted(special))) if special else r"(?!)")
-        core = coding._core_bpe.encode_ordinary if hasattr(coding, "_core_bpe") else coding.encode_ordinary
-        self.encode = lambda text: array("I", core(text)).tobytes()
-        self.odd = re.compile(r" (?:\s|\Z)")
-
-        class Known(dict):
-            """The newer half of what is remembered; a part of the older half moves here when it is met again."""
-
-            older: dict = {}
-
-            def __missing__(known, part: str) -> bytes:  # noqa: N805
-                ids = known.older.get(part)
-                if ids is None:
-                    ids = self.encode(" " + part)
-                    if len(part) >= 64:
-                        return ids
-                if len(known) >= CACHE_ENTRIES:
-                    known.older = dict(known)
-                    known.clear()
-                known[part] = ids
-                return ids
-
-        self.known = Known()
-
-    def __call__(self, text: str) -> bytes:
-        if self.special.search(text):
-            return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if self.odd.search(text):
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        return self.encode(first) + b"".join(map(self.known.__getitem__, rest))
+        split, model = content.get("pre_tokenizer") or {}, content["model"]
+        self.cuts = (
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+            and not any(content.get(k) for k in ("normalizer", "truncation", "padding")) and model["type"] == "BPE" and not model.get("dropout")
+        )
+        self.added = [t["content"] for t in content.get("added_tokens") or []]
+        self.quick = None
+        ranks = byte_ranks(content) if self.cuts else None
+        if ranks:
+            import tiktoken
+
+            self.quick = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.sizes = array("I"), array("I")
+
+    def _learn(self, part: bytes, ids: list[int]) -> None:
+        self.known[part] = len(self.sizes)
+        self.ids.extend(ids)
+        self.sizes.append(len(ids))
+
+    def _parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Parts of all texts (none of them null), and the text of each."""
+        data, offsets = byte_offsets(texts.cast(pa.binary()))
+        owner_of = lambda starts: np.searchsorted(offsets, starts, side="right") - 1
+        some = np.flatnonzero(np.diff(offsets))
+        starts = offsets[some]
+        if self.cuts and len(data):
+            low, high = int(offsets[0]), int(offsets[-1])
+            here, after = data[low : high - 1], data[low + 1 : high]
+            at = low + np.flatnonzero(((here == 32) & _SOLID[after]) | np.append(False, _LETTER[here[:-1]] & _OTHER[after[:-1]]))
+            owner = owner_of(at)
+            whole = np.zeros(len(texts), bool)
+            for added in self.added:
+                whole |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
+            inside = ~whole[owner] & (at + 1 < offsets[owner + 1])
+            begins = np.zeros(high - low, bool)
+            begins[starts - low] = begins[at[inside] - low] = True
+            starts = low + np.flatnonzero(begins)
+        ends = np.append(starts[1:], offsets[-1]) if len(starts) else starts
+        parts = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, ends[-1:]).astype(np.int32)), pa.py_buffer(data)])
+        return parts, owner_of(starts)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has. A null text has none."""
+        parts, owner = self._parts(pc.fill_null(texts, ""))
+        coded = parts.dictionary_encode()
+        if len(self.known) + len(coded.dictionary) > REMEMBERED:
+            self._forget()
+        different = coded.dictionary.to_pylist()
+        data, offsets = byte_offsets(coded.dictionary)
+        near = (np.maximum.reduceat(data, offsets[:-1]) if len(different) else np.zeros(0, np.uint8)) < 0xD4
+        for added in self.added:
+            near &= ~pc.match_substring(coded.dictionary, added).to_numpy(zero_copy_only=False)
+        far = []
+        for p, quick in zip(different, near.tolist(), strict=True):
+            if p not in self.known:
+                if self.quick and quick:
+                    self._learn(p, self.quick(p.decode()))
+                else:
+                    far.append(p)
+        for at in range(0, len(far), 10_000):
+            lot = far[at : at + 10_000]
+            for p, e in zip(lot, self.own.encode_batch_fast([p.decode("utf-8", "replace") for p in lot], add_special_tokens=False), strict=True):
+                self._learn(p, e.ids)
+        sizes = np.array(self.sizes, np.int64)
+        number = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy(zero_copy_only=False)]
+        size = sizes[number]
+        ids = np.array(self.ids, np.uint32)[ranges((np.cumsum(sizes) - sizes)[number], size)]
+        return ids, np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)
 
 
 _IDS: dict[int, Ids] = {}
@@ -111,11 +181,13 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, path: str | None = N
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         if stamp not in _IDS:
             _IDS[stamp] = Ids(shared.value)
-        ids_of = _IDS[stamp]
+        ids, sizes = _IDS[stamp](batch.column(1))
+        ended = np.zeros(len(ids) + len(sizes), "<u4")
+        ended[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+        stored = memoryview(ended).cast("B")
         row, piece, start, length, crc = [], [], [], [], []
-        for k, text in enumerate(batch.column(1).to_pylist()):
-            ids = ids_of(text or "") + END
-            n = len(ids) // 4
+        begin = 0
+        for k, n in enumerate((sizes + 1).tolist()):
             at, size = 0, (n - 1) % capacity + 1
             number = 0
             while at < n:
@@ -123,11 +195,12 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, path: str | None = N
                 piece.append(number)
                 start.append(at)
                 length.append(size)
-                crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
+                crc.append(zlib.crc32(stored[4 * (begin + at) : 4 * (begin + at + size)]))
                 at, size, number = at + size, capacity, number + 1
+            begin += n
         yield {"key": batch.column(0).take(pa.array(row, pa.int64())), "piece": piece, "start": start, "length": length, "crc": crc}
 
-    return map_texts(docs, id_col, text_col, "key {key}, piece int, start long, length long, ids_crc32 long", work)
+    return map_texts(docs, id_col, text_col, "key {key}, piece int, start long, length long, ids_crc32 long", work, most=LOT)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -211,6 +284,12 @@ def _packer(capacity: int, last: bool, round_number: int) -> Callable[[pd.DataFr
     return packed
 
 
+def _gap(out: DataFrame) -> int:
+    """Sequences beyond the sum of the partitions' bounds."""
+    each = out.groupBy(F.shiftright("sequence_id", 32)).agg(F.first(F.col("partition_bins") - F.col("partition_bound")).alias("gap"))
+    return each.agg(F.coalesce(F.sum("gap"), F.lit(0))).first()[0]
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -225,19 +304,21 @@ def pack(
     pool = cut(cut_pieces(docs, id_col, text_col, path, capacity))
     kind = dict(pool.dtypes)["key"]
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, partition_bins long, partition_bound long, closed long"
-    done, before = [], None
-    for round_number in range(ROUNDS):
+    done, gap, round_number = [], None, 0
+    while True:
         n = pool.count()
-        last = n <= partition_pieces or round_number == ROUNDS - 1 or (before is not None and n > 0.98 * before)
+        last = n <= partition_pieces
         parts = max(1, -(-n // partition_pieces))
-
         dealt = pool.select(*columns, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("_part"))
         out = cut(dealt.groupBy("_part").applyInPandas(_packer(capacity, last, round_number), schema))
+        if not last:
+            before, gap = gap, _gap(out)
+            last = before is not None and gap >= before
         if last:
             done.append(out)
             break
         done.append(out.where("closed = 1"))
-        pool, before = out.where("closed = 0").select(*columns), n
+        pool, round_number = out.where("closed = 0").select(*columns), round_number + 1
     whole = done[0]
     for d in done[1:]:
         whole = whole.unionByName(d)
