@@ -64,3 +64,14 @@ def test_nothing_learned(spark):
 def test_same_table_same_network(spark, sf_small):
     a, b = (sorted(map(tuple, queries.op9_language(spark, sf_small).collect())) for _ in range(2))
     assert a == b
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """Also those of one text among hundreds of languages, and with a sample of few texts; repeats of an id count once."""
+    rows = [(k, f"text {k} of a tongue", f"l{k % 230:03d}") for k in range(500)] + [(500 + k, "much of one", "big") for k in range(300)] + [(7, "text 7 of a tongue", "l007")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = language.sample_windows(docs, "doc_id", "text", "lang", F.lit(True))
+    assert {lang for _, lang in whole} == {lang for _, _, lang in rows} and sum(w == b"text 7 of a tongue" for w, _ in whole) == 1
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 300)
+    few = language.sample_windows(docs, "doc_id", "text", "lang", F.lit(True))
+    assert {lang for _, lang in few} == {lang for _, _, lang in rows} and sum(lang == "big" for _, lang in few) < 30

@@ -3,8 +3,8 @@
 Bytes (A-Z lower-cased) are embedded; filters of several widths slide over a window of WINDOW bytes, each filter's
 largest value in the window passes a rectifier, and a softmax layer gives a language. A text is cut into consecutive
 windows, the last of which may be shorter; its logits are the windows' means weighted by length. The network is trained
-on a sample of labelled texts: at most about ROWS_PER_LANGUAGE texts of each language, chosen by a hash of their id,
-with WINDOWS_PER_TEXT windows spread over each. Everything is seeded, so the same table gives the same network.
+on a sample of labelled texts: at most about ROWS_PER_LANGUAGE texts of each language, SAMPLE_ROWS in all, chosen by a
+hash of their id, with WINDOWS_PER_TEXT windows spread over each. Every language has one text at least. Everything is seeded, so the same table gives the same network.
 
 A null text and one without a letter are ``und`` with score 0, as is every text if no language was learned. Rows with
 equal texts get equal results. An empty table gives no rows.
@@ -29,8 +29,8 @@ FILTERS = 8
 EMBEDDING = 8
 ROWS_PER_LANGUAGE = 400
 WINDOWS_PER_TEXT = 4
-#: Languages beyond these, the most frequent ones, aren't learned.
-LANGUAGES = 200
+#: Texts of the sample in all, about: with very many languages each has fewer texts, but one at least.
+SAMPLE_ROWS = 80_000
 EPOCHS = 8
 BATCH = 128
 #: Windows whose convolutions are in memory at once.
@@ -141,7 +141,8 @@ def train(windows: list[tuple[bytes, str]], seed: int = 7) -> Network:
         t = text[:WINDOW].translate(LOWER)
         data[k, : len(t)] = np.frombuffer(t, np.uint8)
         length[k] = len(t)
-    target = np.array([languages.index(lang) for _, lang in windows])
+    number = {lang: k for k, lang in enumerate(languages)}
+    target = np.array([number[lang] for _, lang in windows])
     share = np.bincount(target, minlength=len(languages))
     weight = (len(target) / len(languages) / share)[target]
     values = [net.embedding, *net.filters, net.bias, net.weights, net.out_bias]
@@ -187,28 +188,32 @@ def train(windows: list[tuple[bytes, str]], seed: int = 7) -> Network:
 def sample_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column) -> list[tuple[bytes, str]]:
     """Windows of the training sample, in an order that doesn't depend on partitions."""
     usable = docs.where(learn & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    counts = usable.groupBy(F.col(f"`{lang_col}`").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    lang = F.col(f"`{lang_col}`").cast("string")
+    counts = usable.groupBy(lang.alias("_lang")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.xxhash64(F.col(f"`{id_col}`").cast("string"))).alias("_least")).collect()
     if not counts:
         return []
-    rate = None
-    hashed = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    for r in counts:
-        hit = (F.col(f"`{lang_col}`") == r["lang"]) & (hashed < ROWS_PER_LANGUAGE / r["count"])
-        rate = hit if rate is None else rate | hit
-    chosen = usable.where(rate)
+    most = max(1, min(ROWS_PER_LANGUAGE, SAMPLE_ROWS // len(counts)))
+    rates = docs.sparkSession.createDataFrame([(r["_lang"], most / r["_n"], r["_least"]) for r in counts], "_lang string, _rate double, _least long")
+    hashed = F.xxhash64(F.col("_id").cast("string"))
+    # A row for each language, as the network has a column for each: the side that is broadcast is no larger than that.
+    chosen = (
+        usable.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), lang.alias("_of"))
+        .join(F.broadcast(rates), F.col("_of") == F.col("_lang"))
+        .where((F.pmod(hashed, F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.col("_rate")) | (hashed == F.col("_least")))
+    )
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        window, lang = [], []
-        for text, name in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        windows = []
+        for text in as_bytes(batch.column(1)):
             every = [text[s : s + WINDOW] for s in window_starts(len(text)) if has_letter(text[s : s + WINDOW])]
             step = max(1, len(every) // WINDOWS_PER_TEXT)
-            for w in every[::step][:WINDOWS_PER_TEXT]:
-                window.append(w)
-                lang.append(name)
-        yield {"window": window, "lang": lang}
+            windows.append(every[::step][:WINDOWS_PER_TEXT])
+        yield {"key": batch.column(0), "windows": windows, "lang": batch.column(2)}
 
-    rows = map_texts(chosen, id_col, text_col, "window binary, lang string", work, {"lang": F.col(f"`{lang_col}`").cast("string")}).collect()
-    return sorted((bytes(r[0]), r[1]) for r in rows)
+    each = map_texts(chosen, "_id", "_text", "key {key}, windows array<binary>, lang string", work, {"lang": F.col("_of")})
+    # One row for an id, so that repeats of an id don't make the sample larger.
+    rows = each.groupBy("key").agg(F.min(F.struct("lang", "windows")).alias("x")).select("x.*").collect()
+    return sorted((bytes(w), r["lang"]) for r in rows for w in r["windows"])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, keep: list[str] | None = None) -> DataFrame:
