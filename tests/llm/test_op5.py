@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +63,20 @@ def test_labels_of_held_out_rows_are_not_read(spark, sf_small):
     turned = labels.withColumn("quality", F.when(F.col("doc_id") % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (sorted((r[0], r[1]) for r in quality.score_quality(docs, x, learn=learn).select("doc_id", "score").collect()) for x in (labels, turned))
     assert a == b
+
+
+def test_words_of_equal_shapes_are_told_apart(spark):
+    """Good and bad texts of unrepeated lower-case words of like lengths: only which words they are differs."""
+    rng = random.Random(4)
+    good, bad = (["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 9))) for _ in range(60)] for _ in range(2))
+    rows = [(k, " ".join(rng.sample(good if k % 2 else bad, 25))) for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows if k < 200], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(frame(spark, rows), labels).collect()}
+    assert sum((got[k] >= 0.5) == bool(k % 2) for k in range(200, 300)) >= 97
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    rows = [(1, "good text"), (2, "bad text")] * 50 + [(1, "another")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    terms, marks = quality.labelled_terms(frame(spark, rows), labels, "doc_id", "text", "doc_id", "quality", F.lit(True))
+    assert len(terms) == 2 and sorted(marks) == [0, 1]

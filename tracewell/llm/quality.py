@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are the shapes of its tokens (letters a or A, digits 9, other characters themselves, runs cut short) and
-how far its tokens and token pairs repeat. Square roots of term shares, weighted by rarity among the labelled texts, are
-projected on the leading directions of a singular value decomposition of the labelled texts. Those vectors, of at most
+A text's terms are its words and pairs of words (hashed), the shapes of its tokens (letters a or A, digits 9, other
+characters themselves) and how far tokens, pairs and triples repeat. Square roots of term shares, weighted by rarity among
+the labelled texts, are projected on the leading directions of a singular value decomposition of the labelled texts. Those vectors, of at most
 LABELLED rows chosen by a hash of their id, are broadcast; every text is compared with all of them in blocks of exact
 cosine products, and the labels of its nearest ones vote with weights that grow with similarity.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, map_texts
+from .words import SPACE_TABLE
 
 #: Labelled texts that the neighbours are chosen from, at most.
 LABELLED = 4096
-SHAPES = 509
-REPEATS = 3
-TERMS = SHAPES + REPEATS
-DIMENSIONS = 32
+SHAPES, WORDS, PAIRS, REPEATS = 509, 1021, 509, 3
+TERMS = SHAPES + WORDS + PAIRS + REPEATS
+DIMENSIONS = 64
 NEIGHBOURS = 15
 SHARPNESS = 30.0
 #: Documents whose products with all labelled vectors are in memory at once.
@@ -38,36 +38,40 @@ BLOCK = 256
 _SHAPE = bytes(
     97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else c for c in range(256)
 )
-_RUN = re.compile(rb"(.)\1{3,}", re.DOTALL)
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class _Buckets(dict):
-    """Term number of a token's shape; long runs of a sign count as four."""
+    """Term number of a token's shape, of which each run of a sign counts as one with a mark, and of its length."""
 
     def __missing__(self, shape: bytes) -> int:
-        short = _RUN.sub(rb"\1\1\1\1", shape)[:16]
-        at = 2166136261
-        for c in short:
-            at = (at ^ c) * 16777619 & 0xFFFFFFFF
+        value = crc32(_RUN.sub(rb"\1+", shape), len(shape).bit_length()) % SHAPES
         if len(self) < 100_000:
-            self[shape] = at % SHAPES
-        return at % SHAPES
+            self[shape] = value
+        return value
 
 
 def terms(text: bytes, buckets: dict) -> np.ndarray:
-    """Shares of the shapes among the tokens, then of tokens like the one before, pairs met before, and tokens met
-    before beyond what a text of the length usually has."""
+    """Shares of the tokens' shapes, of the hashed words and of their pairs; then of tokens like the one before, and of
+    pairs and triples met before."""
     out = np.zeros(TERMS, np.float32)
-    words = text.split()
+    words = text.translate(SPACE_TABLE).split()
     n = len(words)
     if not n:
         return out
     shapes = np.fromiter(map(buckets.__getitem__, text.translate(_SHAPE).split()), np.int64, n)
+    hashed = np.fromiter(map(crc32, words), np.uint64, n)
     out[:SHAPES] = np.bincount(shapes, minlength=SHAPES) / n
+    out[SHAPES : SHAPES + WORDS] = np.bincount((hashed % np.uint64(WORDS)).astype(np.int64), minlength=WORDS) / n
     if n > 1:
-        out[SHAPES] = sum(map(eq, words[1:], words)) / (n - 1)
-        out[SHAPES + 1] = 1 - len(set(zip(words, words[1:]))) / (n - 1)
-        out[SHAPES + 2] = max(0.0, 1 - len(set(words)) / n - 0.1 * np.log2(n / 8)) if n > 8 else 0.0
+        pairs = (hashed[1:] << np.uint64(32)) | hashed[:-1]
+        at = SHAPES + WORDS
+        out[at : at + PAIRS] = np.bincount((pairs % np.uint64(PAIRS)).astype(np.int64), minlength=PAIRS) / (n - 1)
+        out[-3] = (hashed[1:] == hashed[:-1]).mean()
+        out[-2] = 1 - len(set(pairs.tolist())) / (n - 1)
+    if n > 2:
+        triples = pairs[1:] * np.uint64(0x9E3779B97F4A7C15) + hashed[:-2]
+        out[-1] = 1 - len(set(triples.tolist())) / (n - 2)
     return out
 
 
@@ -131,8 +135,10 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
         rows = [terms(t, buckets).tobytes() for t in as_bytes(batch.column(1))]
         yield {"key": batch.column(0).cast(pa.string()), "label": batch.column(2), "terms": rows}
 
-    found = map_texts(held, "_id", "_text", "key string, label double, terms binary", work, {"label": F.col("label").cast("double")}).collect()
-    found = sorted((r[0], r[1], bytes(r[2])) for r in found)[:LABELLED]
+    each = map_texts(held, "_id", "_text", "key string, label double, terms binary", work, {"label": F.col("label").cast("double")})
+    # One row for an id, so that repeats of an id in ``docs`` don't make the sample larger.
+    least = each.groupBy("key").agg(F.min(F.struct("label", "terms")).alias("x")).select("key", "x.label", "x.terms").collect()
+    found = sorted((r[0], r[1], bytes(r[2])) for r in least)
     rows = np.array([np.frombuffer(r[2], np.float32) for r in found]).reshape(-1, TERMS)
     return rows, np.array([r[1] for r in found])
 
