@@ -4,37 +4,46 @@ Found are e-mail addresses, IPv4 addresses, telephone numbers, payment card numb
 security numbers (area, group and serial rules) and calendar dates from 1900 to 2099. IBANs are found without spaces
 and, for the countries of IBAN_LENGTHS, in groups of four with single spaces. Dates have day, month and year or year,
 month and day, with one or two digits for day and month, between equal signs ``-``, ``/`` or ``.``. Telephone numbers
-have a country code with ``+``, or ten digits in groups of 3, 3 and 4. What fails its check stays as it is. A value is permuted by an alternating Feistel network over a domain that is exactly its format's set of values, so
-a pseudonym is valid in the same format, different values of a kind get different pseudonyms, and equal values get
+have a country code with ``+``, or ten digits in groups of 3, 3 and 4. Local parts of e-mail addresses have at most LOCAL
+characters, domains at most 127 labels of 63; what is longer is no address. What fails its check stays as it is.
+
+A value is permuted by an alternating Feistel network over a domain that is exactly its format's set of values, so
+a pseudonym is valid in the same format, different values of a format get different pseudonyms, and equal values get
 equal ones in every document, with no table of them. Each of ROUNDS rounds adds to one half, modulo its size, a number
-from SHA-256 over key, kind, round and the other half.
+from SHA-256 over key, kind, round and the other half. Where a set's size has no two halves, the network works on the next
+larger product and is repeated until it comes back into the set (at most as often as the product has numbers beyond it).
 
     kind    kept                              permuted
     card    first digit, separators           the other digits; the last is the Luhn digit again
     iban    country, letters, spaces          digits of the account; check digits follow
     ssn     separators                        (area, group, serial) among the valid ones
-    phone   country code, separators          the national number's digits
+    phone   country code, separators          the national number's digits; ten-digit numbers with no code or +1 whose
+                                              area and exchange begin with 2 to 9 among those, others among the others
     ip      dots                              the 32 bits
-    date    order, separators                 the day among 73,049 days
+    date    place of the year, separator,     day and month together with the year, among all strings of the form that
+            digits of day and month           are a date if read day first or month first
     email   domain, punctuation               letters (lower-cased) and digits of the local part, each among its own,
                                               in blocks of 26 letters and 30 digits
 
 Null texts stay null. Rows are handled each on its own, so repeats, ties and null ids need no rule; an empty table
-gives an empty result. The key is a secret: pass your own.
+gives an empty result. The key is a secret, and there is none by default.
+
+Every pattern runs in time proportional to the text, and none calls itself for each repetition, so that no text is too
+long for the stack.
 """
 
 from __future__ import annotations
 
+import calendar
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = "change-me"
-FIRST_DAY = "1900-01-01"
-#: 1900-01-01 to 2099-12-31 are 319 * 229 days.
-DAYS = (319, 229)
+LOCAL = 256
+YEARS = range(1900, 2100)
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Characters of an IBAN by country.
@@ -51,7 +60,7 @@ def _spaced_iban(length: int, countries: str) -> str:
     return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{length // 4 - 1}}}" + (f" [A-Z0-9]{{{last}}}" if last else "")
 
 
-EMAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"
+EMAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,{LOCAL}}}+@(?:[A-Za-z0-9-]{{1,63}}+\.){{1,127}}[A-Za-z]{{2,24}}"
 PATTERNS = {
     "email": EMAIL,
     "iban": rf"\b(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{'|'.join(_spaced_iban(n, c) for n, c in IBAN_LENGTHS.items())})\b",
@@ -181,9 +190,28 @@ def _phone(key: str, m: Column) -> Column:
     code = F.regexp_extract(m, r"^(\+[0-9]{1,3})(?=[ .(-])", 1)
     code = F.when(code == "", F.regexp_extract(m, r"^(\+[0-9]{2})", 1)).otherwise(code)
 
+    def ten(d: Column) -> Column:
+        """Ten digits: area, exchange, line. The numbers of a plan are 800 x 800 x 10,000; the others are those whose area
+        begins with 0 or 1, then those whose exchange does."""
+        part = lambda a, n: F.substr(d, F.lit(a), F.lit(n)).cast("bigint")
+        area, exchange, line = part(1, 3), part(4, 3), part(7, 4)
+        planned = (area >= 200) & (exchange >= 200)
+        low = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange) * 10_000 + line
+        number = F.when(planned, ((area - 200) * 800 + exchange - 200) * 10_000 + line).otherwise(low)
+        side = F.when(planned, 80_000).otherwise(60_000).cast("bigint")
+        mixed = permute(key, F.when(planned, "phone+").otherwise("phone-"), F.floor(number / side), number % side, side, side)
+
+        def shown(n: Column) -> Column:
+            head = F.floor(n / 10_000)
+            other = F.when(head < 200_000, head).otherwise((200 + F.floor((head - 200_000) / 200)) * 1000 + (head - 200_000) % 200)
+            return F.format_string("%06d%04d", F.when(planned, (200 + F.floor(head / 800)) * 1000 + 200 + head % 800).otherwise(other), n % 10_000)
+
+        return _let(mixed, lambda s: _let(s["a"] * side + s["b"], shown))
+
     def use(c: Column) -> Column:
         rest = F.substr(m, F.length(c) + 1, F.length(m))
-        return F.concat(c, _let(permute_text(key, "phone", _digits(rest), 10), lambda d: _refill(rest, "[0-9]", d)))
+        new = _let(_digits(rest), lambda d: F.when(c.isin("", "+1") & (F.length(d) == 10), ten(d)).otherwise(permute_text(key, "phone", d, 10)))
+        return F.concat(c, _let(new, lambda d: _refill(rest, "[0-9]", d)))
 
     return _let(code, use)
 
@@ -198,25 +226,80 @@ def _ip(key: str, m: Column) -> Column:
     return _let(F.split(m, r"\."), use)
 
 
-def _date(key: str, m: Column) -> Column:
-    """Day first, unless only month first is a date. A day or month of one digit leaves the new ones without zeros."""
+def _halves(total: int) -> tuple[int, int]:
+    """Two sizes near the root whose product is the least that isn't below ``total``."""
+    root = math.isqrt(total)
+    return min(((a, -(-total // a)) for a in range(max(1, root // 2), root + 1)), key=lambda x: (x[0] * x[1], -x[0]))
 
-    def with_parts(p: Column) -> Column:
-        read = lambda *order: F.concat_ws("-", *[p[k] for k in order]).try_cast("date")
-        year_first = F.length(p[0]) == 4
-        sign, short = F.regexp_extract(m, "[-/.]", 0), F.least(*[F.length(p[k]) for k in range(3)]) == 1
 
-        def shown(s: Column) -> Column:
-            day = F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int"))
-            y, mm, d = F.date_format(day, "yyyy"), *[F.when(short, F.date_format(day, one)).otherwise(F.date_format(day, one * 2)) for one in "Md"]
-            joined = lambda a, b, c: F.concat(a, sign, b, sign, c)
-            return F.when(year_first, joined(y, mm, d)).when(read(2, 1, 0).isNotNull(), joined(d, mm, y)).otherwise(joined(mm, d, y))
+def _date_forms() -> list[tuple[list[str], list[str], int, int, int]]:
+    """By place of the year (last, first), digits of the first and of the second of the two other numbers: the strings of
+    both that are dates in every year, those of leap years alone, how many dates there are, and the sizes of halves."""
+    out = []
+    leap_years = sum(map(calendar.isleap, YEARS))
+    for year_first in (False, True):
+        for wide in ((1, 1), (1, 2), (2, 1), (2, 2)):
+            found: list[list[str]] = []
+            for year in (2001, 2004):
+                orders = [(m, d) for m in range(1, 13) for d in range(1, calendar.monthrange(year, m)[1] + 1)]
+                pairs = sorted({*orders, *(() if year_first else ((d, m) for m, d in orders))})
+                found.append([f"{x:0{wide[0]}d}-{y:0{wide[1]}d}" for x, y in pairs if x < 10 ** wide[0] and y < 10 ** wide[1]])
+            common = found[0]
+            extra = sorted(set(found[1]) - set(common))
+            total = len(YEARS) * len(common) + leap_years * len(extra)
+            out.append((common, extra, total, *_halves(total)))
+    return out
+
 
-        def use(day: Column) -> Column:
-            offset = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
-            return F.when(day.isNotNull(), _let(permute(key, "date", F.floor(offset / DAYS[1]), offset % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1])), shown))
+DATE_FORMS = _date_forms()
+_BEYOND = max(a * b - total for _, _, total, a, b in DATE_FORMS)
 
-        return _let(F.when(year_first, read(0, 1, 2)).otherwise(F.coalesce(read(2, 1, 0), read(2, 0, 1))), use)
+
+def _date(key: str, m: Column) -> Column:
+    """Dates of a form are numbered: those that every year has by year, then those of leap years."""
+    first, leap = YEARS[0], next(y for y in YEARS if calendar.isleap(y))
+
+    def of_form(form: Column, values: list) -> Column:
+        picked = None
+        for k, v in enumerate(values):
+            picked = F.when(form == k, v) if picked is None else picked.when(form == k, v)
+        return picked
+
+    def with_form(p: Column) -> Column:
+        form, year, written = p["form"], p["year"], p["written"]
+        column = lambda k: of_form(form, [F.lit(f[k]).cast("bigint") for f in DATE_FORMS])
+        listed = lambda k: of_form(form, [F.split(F.lit(",".join(f[k])), ",") for f in DATE_FORMS])
+        many = of_form(form, [F.lit(len(f[0])).cast("bigint") for f in DATE_FORMS])
+        extra = of_form(form, [F.lit(len(f[1])).cast("bigint") for f in DATE_FORMS])
+        total, size_a, size_b = column(2), column(3), column(4)
+        at, late = F.array_position(listed(0), written), F.array_position(listed(1), written)
+        is_leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+        number = F.when(at > 0, (year - first) * many + at - 1).when((late > 0) & is_leap, len(YEARS) * many + F.floor((year - leap) / 4) * extra + late - 1)
+
+        def step(s: Column, _: Column) -> Column:
+            mixed = permute(key, F.concat(F.lit("date"), form.cast("string")), F.floor(s / size_b), s % size_b, size_a, size_b)
+            # A number beyond the total has to go on; one below it, but for the first, has arrived and is kept as -1 - n.
+            return F.when(s < 0, s).otherwise(_let(_let(mixed, lambda x: x["a"] * size_b + x["b"]), lambda n: F.when(n < total, -1 - n).otherwise(n)))
+
+        def shown(n: Column) -> Column:
+            usual = n < len(YEARS) * many
+            rest = n - len(YEARS) * many
+            new_year = F.when(usual, first + F.floor(n / many)).otherwise(leap + 4 * F.floor(rest / extra)).cast("string")
+            day = F.when(usual, F.get(listed(0), (n % many).cast("int"))).otherwise(F.get(listed(1), (rest % extra).cast("int")))
+            both = F.replace(day, F.lit("-"), p["sign"])
+            return F.when(form >= 4, F.concat(new_year, p["sign"], both)).otherwise(F.concat(both, p["sign"], new_year))
+
+        def walk(n: Column) -> Column:
+            return F.when(n.isNotNull(), _let(-1 - F.aggregate(F.sequence(F.lit(0), F.lit(_BEYOND)), n.cast("bigint"), step), shown))
+
+        return _let(number, walk)
+
+    def with_parts(p: Column) -> Column:
+        year_first = F.length(p[0]) == 4
+        a, b, year = F.when(year_first, p[1]).otherwise(p[0]), F.when(year_first, p[2]).otherwise(p[1]), F.when(year_first, p[0]).otherwise(p[2])
+        form = F.when(year_first, 4).otherwise(0) + 2 * (F.length(a) - 1) + F.length(b) - 1
+        sign = F.regexp_extract(m, "[-/.]", 0)
+        return _let(F.struct(form.alias("form"), year.cast("bigint").alias("year"), F.concat_ws("-", a, b).alias("written"), sign.alias("sign")), with_form)
 
     return _let(F.split(m, "[-/.]"), with_parts)
 
@@ -257,8 +340,10 @@ def pseudonym(key: str, m: Column) -> Column:
     return _let(_let(kind, use), card_within)
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, keep: list[str] | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: str, keep: list[str] | None = None) -> DataFrame:
     """Per row: id (or the columns ``keep``), text with pseudonyms, and ``found``: array of (kind, value) put in."""
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(f"`{text_col}`").cast("string")
     kept = [id_col] if keep is None else keep
     base = docs.select(*[F.col(f"`{k}`").alias(f"_keep{n}") for n, k in enumerate(kept)], text.alias("_text"))

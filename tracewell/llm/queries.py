@@ -11,6 +11,10 @@ from . import decontaminate, hmm, language, licenses, line_dedup, media, packing
 from .common import remainder
 
 
+#: The key of the registered query, which anyone can read: for tests and checks alone.
+PII_TEST_KEY = "a key for tests, no secret"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,7 +24,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    made = pii.pseudonymise(_table(spark, sf_dir, "documents"), key=PII_TEST_KEY)
     kinds = F.array_join(F.array_sort(F.array_distinct("found.kind")), ",")
     return made.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), kinds.alias("kinds"))
 
@@ -102,4 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE_SQL,
+        "op7_licenses": licenses.oracle_sql(),
+        "op8_decontaminate": decontaminate.oracle_sql(),
+    }
