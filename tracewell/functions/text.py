@@ -25,6 +25,7 @@ GENERATED_PHRASES = (
     "this is an autogenerated file",
 )
 
+# Extensions and names by language, and what counts as source.
 LANGUAGE_EXTENSIONS = {
     "C": "c h", "C#": "cs", "C++": "cc cpp cxx hpp", "CSS": "css", "Clojure": "clj", "Dart": "dart", "Elixir": "ex exs",
     "Erlang": "erl", "F#": "fs", "GAS": "s", "Go": "go", "HTML": "htm html", "Haskell": "hs", "JSON": "json", "Java": "java",

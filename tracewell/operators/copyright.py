@@ -19,7 +19,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import text as tx
 
-#: A line that holds one of these (lower-cased) may state a copyright or an author.
+#: Fixed values. A line that holds one of these (lower-cased) may state a copyright or an author.
 MARKERS = ("opyr", "opyl", "copr", "©", "|copy|", "&#169", "&#xa9", "169", "xa9", "00a9", "\\251", "reserv", "auth", "contrib", "commit", "devel", "by ", "@", "<s>", "</s>", "<s/>")
 _YEAR = r"(?:19[6-9][0-9]|20[0-9]{2})"
 YEAR_HINT = rf"[(.,\-)\s]{_YEAR}(?:[(.,\-)\s]|$)"
