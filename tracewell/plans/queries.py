@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries, tree_queries  # noqa: F401  they fill the table
+from . import operator_queries, text_queries, tree_queries  # noqa: F401  they fill the table
 from .registry import QUERIES, SQL, Query
 
 

@@ -251,11 +251,11 @@ def license_automaton_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {MATCHES}, whole AS (SELECT doc_id, line, {_TOKENS('s')} AS toks FROM lines)
-SELECT w.doc_id * 100000 + w.line AS line_id, r.rid, r.expression AS license_expression, len(w.toks) AS matched_length FROM whole w JOIN rules r ON w.toks = r.toks
+SELECT concat(w.doc_id, ':', w.line) AS line_id, r.rid, r.expression AS license_expression, len(w.toks) AS matched_length FROM whole w JOIN rules r ON w.toks = r.toks
 """)
 def license_hash_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are a rule as a whole."""
-    lines = tx.explode_lines(_documents(spark, sf_dir), "text", "doc_id").select((F.col("doc_id") * 100000 + F.col("line")).alias("line_id"), F.col("text_line").alias("text"))
+    lines = tx.explode_lines(_documents(spark, sf_dir), "text", "doc_id").select(F.concat_ws(":", "doc_id", "line").alias("line_id"), F.col("text_line").alias("text"))
     found = lic.hash_matches(lines, rl.default_rules(spark), "line_id")
     return found.select("line_id", *_long("rid"), "license_expression", *_long("matched_length"))
 
@@ -313,7 +313,7 @@ def license_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {MATCHES}, lt AS (SELECT doc_id * 100000 + line AS line_id, tok, count(*) AS n FROM tokens GROUP BY ALL), ls AS (SELECT line_id, sum(n) AS length FROM lt GROUP BY ALL),
+WITH {MATCHES}, lt AS (SELECT concat(doc_id, ':', line) AS line_id, tok, count(*) AS n FROM tokens GROUP BY ALL), ls AS (SELECT line_id, sum(n) AS length FROM lt GROUP BY ALL),
 rc AS (SELECT rid, tok, count(*) AS rn FROM rule_tokens GROUP BY ALL), rs AS (SELECT rid, sum(rn) AS rlength FROM rc GROUP BY ALL),
 pairs AS (SELECT line_id, rid, sum(least(n, rn)) AS shared, max(tok IN ({_LEGALESE})) AS legal FROM lt JOIN rc USING (tok) GROUP BY ALL),
 scored AS (SELECT line_id, rid, round(shared / (length + rlength - shared), 6) AS resemblance, round(shared / rlength, 6) AS containment FROM pairs JOIN ls USING (line_id) JOIN rs USING (rid) WHERE legal)
@@ -321,7 +321,7 @@ SELECT line_id, rid, resemblance FROM scored WHERE resemblance >= 0.8 QUALIFY ro
 """)
 def license_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are nearly a rule (L8 at its threshold, ten a line)."""
-    lines = tx.explode_lines(_documents(spark, sf_dir), "text", "doc_id").select((F.col("doc_id") * 100000 + F.col("line")).alias("line_id"), F.col("text_line").alias("text"))
+    lines = tx.explode_lines(_documents(spark, sf_dir), "text", "doc_id").select(F.concat_ws(":", "doc_id", "line").alias("line_id"), F.col("text_line").alias("text"))
     return lic.near_duplicate_rules(lines, rl.default_rules(spark), "line_id").select("line_id", *_long("rid"), "resemblance")
 
 
@@ -386,7 +386,7 @@ def license_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_sequence_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned runs of lines and their near-duplicate rules (L9). The alignment is a procedure; tests hold it against
     another one."""
-    lines = tx.explode_lines(_documents(spark, sf_dir), "text", "doc_id").select((F.col("doc_id") * 100000 + F.col("line")).alias("line_id"), F.col("text_line").alias("text"))
+    lines = tx.explode_lines(_documents(spark, sf_dir), "text", "doc_id").select(F.concat_ws(":", "doc_id", "line").alias("line_id"), F.col("text_line").alias("text"))
     rules = rl.default_rules(spark)
     found = lic.sequence_matches(lines, rules, "line_id", candidates=lic.near_duplicate_rules(lines, rules, "line_id"))
     return found.select("line_id", "rid", "start_token", "end_token", "matched_length", "match_coverage")
