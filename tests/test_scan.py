@@ -110,7 +110,10 @@ def test_empty_documents(spark):
 def test_written(report, tmp_path):
     sinks.write_report(report, {"json-lines": str(tmp_path / "jl"), "csv": str(tmp_path / "csv"), "html-app": str(tmp_path / "app")}, single=True)
     (part,) = (tmp_path / "jl").glob("part-*")
-    assert len(part.read_text().splitlines()) > 8 and list((tmp_path / "csv").glob("part-*")) and list((tmp_path / "app" / "assets").glob("part-*"))
+    assert len(part.read_text().splitlines()) > 8 and list((tmp_path / "csv").glob("part-*"))
+    data = json.loads((tmp_path / "app" / "assets" / "data.js").read_text().removeprefix("data = "))
+    assert [f["path"] for f in data["files"]] == sorted(f["path"] for f in data["files"]) and data["packages"][0]["name"] == "b"
+    assert 'src="assets/data.js"' in (tmp_path / "app" / "index.html").read_text()
 
 
 def test_templates(report):

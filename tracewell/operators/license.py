@@ -143,9 +143,12 @@ def _windows(found: Column, n: int, heads: list[str]) -> Column:
 
 
 def automaton_matches(df: DataFrame, rules: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """As ``exact_matches``, by one automaton over all rules: for rule sets with many lengths and first words."""
+    """As ``exact_matches``, by one automaton over all rules: for rule sets with many lengths and first words. The automaton
+    is broadcast, so a set of more than BROADCAST_ROWS rules goes to ``exact_matches``."""
     import ahocorasick
 
+    if len(rules.select(F.lit(1)).take(BROADCAST_ROWS + 1)) > BROADCAST_ROWS:
+        return exact_matches(df, rules, key, text)
     ready = prepared_rules(rules).where("NOT is_false_positive").select("rid", "license_expression", "kind", "relevance", "rule_length", F.array_join("tokens", " ").alias("rule_text"))
     automaton = ahocorasick.Automaton()
     for rid, length, rule_text in ready.select("rid", "rule_length", "rule_text").toLocalIterator():

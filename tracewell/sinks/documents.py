@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +30,17 @@ def spdx_files(report: Report) -> DataFrame:
 
 
 def verification_code(files: DataFrame) -> DataFrame:
-    """One row, code: SHA-1 of the sorted SHA-1 digests in one string. Digests are gathered in one row, 40 bytes each, as
-    the definition asks for."""
-    return files.where("sha1 IS NOT NULL").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("sha1")), "").cast("binary")).alias("code"))
+    """One row, code: SHA-1 of the sorted SHA-1 digests, one after another. That is one sequence by definition, so one
+    task reads the digests, sorted with spills, and keeps a batch of them at a time."""
+
+    def run(batches):
+        h = hashlib.sha1()
+        for batch in batches:
+            h.update("".join(batch.column(0).to_pylist()).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], ["code"])
+
+    digests = files.where("sha1 IS NOT NULL").select("sha1").repartition(1).sortWithinPartitions("sha1")
+    return digests.mapInArrow(run, "code string").agg(F.coalesce(F.max("code"), F.lit(hashlib.sha1().hexdigest())).alias("code"))
 
 
 def _or_none(values: Column, sign: str = "\n") -> Column:
@@ -41,7 +52,9 @@ def spdx_tag_value(report: Report, name: str = "scan") -> DataFrame:
     spark, files = report.spark, spdx_files(report)
     if not files.take(1):
         return fixed(spark, 0, f"# No results for package '{name}'.")
-    found = files.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("licenses")))).alias("l"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("copyrights")))).alias("c"))
+    found = files.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("licenses")))).alias("l"))
+    texts = files.select(F.explode("copyrights").alias("c")).where("c IS NOT NULL").distinct()
+    edges = texts.agg(F.min("c").alias("first"), F.max("c").alias("last"))
     head = [
         "## Document Information", "SPDXVersion: SPDX-2.2", "DataLicense: CC0-1.0", "SPDXID: SPDXRef-DOCUMENT", f"DocumentName: SPDX Document created by {TOOL}",
         f"DocumentNamespace: http://spdx.org/spdxdocs/{name}", f"DocumentComment: <text>{NOTICE}</text>", "## Creation Information", f"Creator: Tool: {TOOL}", "## Package Information",
@@ -49,15 +62,18 @@ def spdx_tag_value(report: Report, name: str = "scan") -> DataFrame:
     ]
     code = of_rows(verification_code(files), 1, F.lit(""), F.concat(F.lit("PackageVerificationCode: "), "code"))
     licenses = F.when(F.size("l") > 0, F.array_join(F.transform("l", lambda x: F.concat(F.lit("PackageLicenseInfoFromFiles: "), x)), "\n")).otherwise("PackageLicenseInfoFromFiles: NONE")
-    stated = F.when(F.size("c") > 0, F.concat(F.lit("<text>"), F.array_join("c", "\n"), F.lit("</text>"))).otherwise("NONE")
-    body = of_rows(found, 2, F.lit(""), F.concat(F.lit("PackageLicenseConcluded: NOASSERTION\n"), licenses, F.lit("\nPackageLicenseDeclared: NOASSERTION\nPackageCopyrightText: "), stated))
+    body = of_rows(found, 2, F.lit(""), F.concat(F.lit("PackageLicenseConcluded: NOASSERTION\n"), licenses, F.lit("\nPackageLicenseDeclared: NOASSERTION")))
+    # A line for each text, sorted with the document; the first and the last carry the mark-up.
+    begin, end = F.when(F.col("c") == F.col("first"), "PackageCopyrightText: <text>").otherwise(""), F.when(F.col("c") == F.col("last"), "</text>").otherwise("")
+    stated = of_rows(texts.crossJoin(F.broadcast(edges)), 3, F.col("c"), F.concat(begin, "c", end))  # edges: one row
+    unstated = of_rows(edges.where("first IS NULL"), 3, F.lit(""), F.lit("PackageCopyrightText: NONE"))
     own = F.when(F.size("licenses") > 0, F.array_join(F.transform("licenses", lambda x: F.concat(F.lit("LicenseInfoInFile: "), x)), "\n")).otherwise("LicenseInfoInFile: NONE")
     text = F.when(F.size("copyrights") > 0, F.concat(F.lit("<text>"), F.array_join("copyrights", "\n"), F.lit("</text>"))).otherwise("NONE")
     ident = F.substring(F.sha1(F.col("name").cast("binary")), 1, 16)
     each = F.concat(
         F.lit("FileName: "), "name", F.lit("\nSPDXID: SPDXRef-"), ident, F.lit("\nFileChecksum: SHA1: "), F.coalesce("sha1", F.lit("")), F.lit("\nLicenseConcluded: NOASSERTION\n"), own, F.lit("\nFileCopyrightText: "), text,
     )
-    return document(fixed(spark, 0, *head), code, body, fixed(spark, 3, "## File Information"), of_rows(files, 4, F.col("name"), each))
+    return document(fixed(spark, 0, *head), code, body, stated, unstated, fixed(spark, 4, "## File Information"), of_rows(files, 5, F.col("name"), each))
 
 
 def _resource(tag: str, value: str) -> str:

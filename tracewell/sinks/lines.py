@@ -52,6 +52,16 @@ def write_lines(lines: DataFrame, path: str, single: bool = False) -> None:
     (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of that very name, through the store's own interface."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
 def escape_xml(value: Column) -> Column:
     out = value
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):

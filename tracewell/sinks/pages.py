@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lines import document, escape_xml, fixed, of_rows
+from .lines import document, escape_xml, fixed, of_rows, write_file
 from .report import TOOL, Report, as_json
 
 TEMPLATE_ROWS = 100_000
@@ -56,13 +56,42 @@ def _limited(df: DataFrame | None) -> list[dict]:
     return [json.loads(r[0]) for r in rows]
 
 
+APP_PAGE = """<!DOCTYPE html>
+<html><head><meta charset="utf-8"><title>TITLE</title><script src="assets/data.js"></script></head>
+<body><h1>TITLE</h1>
+<p><select id="section"></select> <input id="filter" placeholder="filter"> <span id="count"></span></p>
+<table id="rows"></table>
+<script>
+const section = document.getElementById("section"), filter = document.getElementById("filter");
+for (const name of Object.keys(data)) section.add(new Option(name));
+function show() {
+  const wanted = filter.value.toLowerCase(), all = data[section.value];
+  const rows = all.filter(r => JSON.stringify(r).toLowerCase().includes(wanted));
+  const table = document.getElementById("rows");
+  table.textContent = "";
+  document.getElementById("count").textContent = rows.length + " of " + all.length;
+  for (const r of rows) {
+    const line = table.insertRow();
+    for (const [k, v] of Object.entries(r)) {
+      if (v === null || (Array.isArray(v) && !v.length)) continue;
+      line.insertCell().textContent = k + ": " + (typeof v === "object" ? JSON.stringify(v) : v);
+    }
+  }
+}
+section.onchange = filter.oninput = show;
+show();
+</script></body></html>
+"""
+
+
 def html_app(report: Report, folder: str) -> None:
-    """A page that reads ``data.js`` from its folder of assets. Files are written by Spark, so that any store will do."""
+    """``index.html``, which shows ``assets/data.js`` with a filter. Both are written through the store's own interface, so
+    that any store will do; their size is bounded by TEMPLATE_ROWS."""
     spark = report.spark
-    page = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{TOOL}</title><script src="assets/data.js"></script></head><body><pre id="out"></pre><script>document.getElementById("out").textContent = JSON.stringify(data, null, 1)</script></body></html>'
+    page = APP_PAGE.replace("TITLE", TOOL)
     data = "data = " + json.dumps({"files": _limited(report.files.orderBy("path")), "packages": _limited(report.packages), "dependencies": _limited(report.dependencies)}, ensure_ascii=False)
-    for name, text in (("index", page), ("assets", data)):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    for name, text in (("index.html", page), ("assets/data.js", data)):
+        write_file(spark, f"{folder.rstrip('/')}/{name}", text)
 
 
 _TAG = re.compile(r"\{%\s*(for\s+(\w+)\s+in\s+([\w.]+)|endfor|if\s+([\w.]+)|endif)\s*%\}|\{\{\s*([\w.]+)\s*(?:\|\s*(\w+)\s*)?\}\}|\{#.*?#\}", re.S)

@@ -23,20 +23,19 @@ _MEDIA = "png jpg jpeg gif svg bmp ico webp mp3 mp4 ogg oga ogv wav flac avi mov
 _SCRIPTS = "sh bash zsh csh ksh py pl rb php js lua ps1 bat awk tcl".split()
 
 
-def hidden_paths(spark: SparkSession, root: str, most_depth: int = 64) -> list[str]:
+def hidden_paths(spark: SparkSession, root: str) -> list[str]:
     """Files and directories whose names begin with a dot or an underscore: Spark's listing leaves them out unless they
     are named. Found level by level through the store's own interface; as many names as there are such entries."""
     jvm = spark._jvm
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     store = at(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out, level = [], root.rstrip("/")
-    for _ in range(most_depth):
+    while True:
         found = store.globStatus(at(level + "/{.,_}*"))
         out += [s.getPath().toString() for s in found or []]
         level += "/*"
         if not len(store.globStatus(at(level)) or []):
-            break
-    return out
+            return out
 
 
 def read_tree(spark: SparkSession, root: str, max_depth: int = 0, excludes: list[str] = ()) -> tuple[DataFrame, DataFrame]:
