@@ -38,6 +38,10 @@ MATCH = (
 )
 
 
+#: Rule tokens, at most, that are looked for within a text's array of tokens.
+FEW_TOKENS = 10_000
+
+
 def bounded(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """With a broadcast hint if the table has at most ``rows`` rows; as it is, for a shuffle join, if it has more."""
     return F.broadcast(dimension) if len(dimension.select(F.lit(1)).take(rows + 1)) <= rows else dimension
@@ -199,8 +203,12 @@ def candidate_rules(df: DataFrame, rules: DataFrame, key: str = "path", text: st
     df = df.where(reduce(or_, [F.lower(F.col(text)).contains(w) for w in sorted(legalese)], F.lit(False)))
     of_rule = rule_tokens(prepared_rules(rules), legalese).groupBy("rid", "token").agg(F.count(F.lit(1)).alias("rule_n"), F.max("is_legalese").alias("is_legalese"))
     lengths = of_rule.groupBy("rid").agg(F.sum("rule_n").alias("rule_length"))
-    sized = df.select(key, text, F.size(tokens(F.col(text))).alias("length"))
-    counts = sized.select(key, "length", F.explode(tokens(F.col(text))).alias("token"))
+    # Tokens are taken from a text once; in the array those that no rule has go, where the rules have few, so that little is
+    # exploded and shuffled.
+    listed = [r[0] for r in of_rule.select("token").distinct().take(FEW_TOKENS + 1)]
+    found = df.select(key, tokens(F.col(text)).alias("_t"))
+    own = F.filter("_t", lambda t: t.isin(*listed)) if len(listed) <= FEW_TOKENS else F.col("_t")
+    counts = found.select(key, F.size("_t").alias("length"), own.alias("_t")).where(F.size("_t") > 0).select(key, "length", F.explode("_t").alias("token"))
     wanted = bounded(of_rule.join(bounded(lengths), "rid"))
     mine = counts.join(bounded(of_rule.select("token").distinct()), "token", "left_semi").groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("n"))
     pairs = mine.join(wanted, "token").groupBy(key, "rid", "length", "rule_length").agg(

@@ -279,7 +279,8 @@ def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-_NAME = F.lit(None).cast("string")
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 @query("SELECT concat('n', n_nationkey, '-', k) AS name, 'lib/apk/db/installed' AS path, concat('pkg:apk/n', n_nationkey, '-', k, '@1') AS bare FROM nation, range(3) AS r(k) WHERE k > 0")
@@ -296,7 +297,7 @@ def nested_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A POM and a manifest below one root are a package; a lone file and a root with two POMs aren't."""
     s, k = table(spark, sf_dir, "supplier", "s_suppkey"), F.col("s_suppkey")
     pom = lambda rows, d: _manifest(rows, _text("j", k, f"/META-INF/maven/g/{d}/pom.xml"), "maven_pom", "maven", _text("s", k))
-    jar = _manifest(s.where("s_suppkey % 3 <> 1"), _text("j", k, "/META-INF/MANIFEST.MF"), "java_jar_manifest", "maven", _NAME)
+    jar = _manifest(s.where("s_suppkey % 3 <> 1"), _text("j", k, "/META-INF/MANIFEST.MF"), "java_jar_manifest", "maven", _none())
     made = asm.nested_packages(pom(s, "a").unionByName(pom(s.where("s_suppkey % 3 = 2"), "b")).unionByName(jar))
     return made.select("root", "name", F.size("datafile_paths").cast("long").alias("files"))
 
@@ -317,7 +318,7 @@ def gem_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hackage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s, k = table(spark, sf_dir, "supplier", "s_suppkey"), F.col("s_suppkey")
     cabal = lambda rows, n: _manifest(rows, _text("h", k, f"/{n}.cabal"), "hackage_cabal", "hackage", _text(f"{n}", k))
-    project = _manifest(s, _text("h", k, "/cabal.project"), "hackage_cabal_project", "hackage", _NAME, _text("pkg:hackage/d", k), None)
+    project = _manifest(s, _text("h", k, "/cabal.project"), "hackage_cabal_project", "hackage", _none(), _text("pkg:hackage/d", k), None)
     return asm.hackage_packages(cabal(s.where("s_suppkey % 3 > 0"), "a").unionByName(cabal(s.where("s_suppkey % 3 = 2"), "b")).unionByName(project))
 
 
@@ -340,7 +341,7 @@ def _conda(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     one = lambda rows, uid, source, file, purl, held: rows.select(uid.alias("package_uid"), purl.alias("purl"), F.array(F.lit(source)).alias("datasource_ids"), F.array(file).alias("datafile_paths"), held.alias("extracted_package_dir"))
     installed = one(s, _text("i", k), "conda_meta_json", _text("conda-meta/", k, ".json"), _text("pkg:conda/p", k), _text("/pkgs/p", k, "/"))
     other = F.when(k % 2 == 0, _text("pkg:conda/p", k)).otherwise(_text("pkg:conda/q", k))
-    recipes = one(s, _text("r", k), "conda_meta_yaml", _text("pkgs/p", k, "/info/recipe/meta.yaml"), other, _NAME)
+    recipes = one(s, _text("r", k), "conda_meta_yaml", _text("pkgs/p", k, "/info/recipe/meta.yaml"), other, _none())
     held = s.select(_text("pkgs/p", k, "/lib.so").alias("path"), _text("r", k).alias("for_package"))
     needs = s.select(_text("pkg:conda/d", k).alias("purl"), _text("r", k).alias("for_package_uid"))
     return asm.conda_merge(installed.unionByName(recipes), held, needs)
@@ -422,7 +423,7 @@ def referenced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unassembled_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependencies of manifests that nobody reads or owns."""
     s, k = table(spark, sf_dir, "supplier", "s_suppkey"), F.col("s_suppkey")
-    rows = _manifest(s, _text("odd", k, "/thing"), "unlisted", "x", _NAME, _text("pkg:x/d", k)).unionByName(_manifest(s, _text("n", k, "/package.json"), "npm_package_json", "npm", _NAME, _text("pkg:npm/e", k)))
+    rows = _manifest(s, _text("odd", k, "/thing"), "unlisted", "x", _none(), _text("pkg:x/d", k)).unionByName(_manifest(s, _text("n", k, "/package.json"), "npm_package_json", "npm", _none(), _text("pkg:npm/e", k)))
     owners = s.where("s_suppkey % 2 = 1").select(_text("odd", k, "/thing").alias("path"))
     return asm.unassembled_dependencies(rows, owners).select("purl", "datafile_path")
 
