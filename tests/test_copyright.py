@@ -50,3 +50,13 @@ def test_only_candidates_reach_python(spark):
     df = spark.createDataFrame([("f", "x")], "path string, text string")
     plan = cr.detect_copyrights(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Filter")
+
+
+@pytest.mark.parametrize(("text", "authors"), [
+    ("# Originally by Ann Lee <ann@corp.io>, 1999", ["Ann Lee <ann@corp.io>"]), ("// Original Author: Bo Ray <bo@corp.io>", ["Bo Ray <bo@corp.io>"]), ("* Current maintainer: Cy Day <cy@corp.io>", ["Cy Day <cy@corp.io>"]),
+    ("// Author(s): kim, joe@corp.io", ["kim, joe@corp.io"]), ("* Author: a@corp.io or b@corp.io", ["a@corp.io or b@corp.io"]), ("* fixes by Di Orr\n *   (di@corp.io)", ["Di Orr (di@corp.io)"]),
+    ("IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE", []),
+])
+def test_more_forms_of_authors(spark, text, authors):
+    df = spark.createDataFrame([("f", text)], "path string, text string")
+    assert [r["value"] for r in cr.detect_copyrights(df).where("kind = 'author'").collect()] == authors

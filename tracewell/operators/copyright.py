@@ -139,6 +139,11 @@ TAGS: list[tuple[str, re.Pattern]] = [
 _SPLIT = re.compile(r"[\t =;]+")
 
 
+#: Words that name people where a colon follows, and words that tell one author from others.
+_PEOPLE = re.compile(r"(?i)@?(?:co-?)?(?:authors?|contributors?|maintainers?|committers?)\Z")
+_WHICH_AUTHOR = frozenset("original current main principal primary initial previous former".split())
+
+
 @lru_cache(100_000)
 def tag_of(word: str) -> str:
     return next(t for t, p in TAGS if p.match(word))
@@ -164,16 +169,20 @@ def tokens_of(lines: list[tuple[int, str]]) -> list[Token]:
                 continue
             comma = word.endswith(",") and word.rstrip(",").strip()
             base = word.rstrip(",").strip() if comma else word
-            out.append(Token(base, tag_of(base), number))
+            out.append(Token(base, "AUTHS" if part.endswith(":") and _PEOPLE.match(base) else tag_of(base), number))
             if comma:
                 out.append(Token(",", "CC", number))
     for a, b in zip(out, out[1:], strict=False):
+        if b.tag == "AUTHS" and a.tag == "NNP" and a.value.lower() in _WHICH_AUTHOR:
+            a.tag = "NN"
+        if a.value == "its" and b.value.lower().rstrip(".,") == "contributors":
+            a.tag, b.tag, a.value, b.value = "OTH", "SKIP", f"{a.value} {b.value}", ""
         if a.value == "Open" and b.value == "Source":
             b.tag = "NNP"
         camel = re.fullmatch(r"[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*", a.value) and re.search("[a-z]", a.value)
         if a.tag == "JUNK" and b.tag == "COMP" and a.line == b.line and camel and any(t.tag == "COPY" and t.line == a.line for t in out[: out.index(a)]):
             a.tag = "NNP"
-    return out
+    return [t for t in out if t.tag != "SKIP"]
 
 
 @dataclass
@@ -213,6 +222,9 @@ GRAMMAR = [
         ("COPYRIGHT", r"(?:COPY )+(?:YEARS )+(?:CC |BY )*(?:THE )?(?:NN )(?:NN )?(?:EMAIL )?"),
         ("COPYRIGHT", r"(?:COPY )(?:COPY )*(?:CC |SYM |DASH )*(?:YEARS )+(?:RIGHTS )?"),
         ("COPYRIGHT", r"HOLDER IS (?:PARTIES |NAME_EMAIL |COMPANY |NAME )"),
+        ("AUTHOR", r"AUTHS (?:NN CC )?EMAIL (?:(?:CC |OR )EMAIL )+"), ("AUTHOR", r"AUTHS NN CC EMAIL "),
+        ("AUTHOR", r"BY (?:NL )?(?:NAME_EMAIL )(?:NL NAME_EMAIL )*"), ("AUTHOR", r"BY EMAIL "),
+        ("AUTHOR", r"(?:AUTH2 )?BY (?:NAME |COMPANY )(?:(?:OF |NL )(?:NAME |COMPANY ))?NL EMAIL "),
         ("AUTHOR", r"(?:AUTHS |AUTH2 (?:CC AUTH2 )*BY )(?:IS |SYM |DASH |BY )*(?:PARTIES |NAME_EMAIL |COMPANY |NAME |EMAIL )+"),
     )
 ]
@@ -246,6 +258,8 @@ def reduce_tokens(tokens: list[Token]) -> list:
 
 #: Statements without a year that speak of copyrights and state none.
 _NO_STATEMENT = re.compile(r"(?i)copyrights? (?:holders?|owners?|notices?|laws?|restrict)\b(?!.*\bis\b)|.*\b(?:and/or|liable|any)\b|copyright:? l?gpl")
+#: What follows "authors" in a disclaimer.
+_NO_AUTHOR = re.compile(r"(?:OR|AS|AND|IS|BE)(?: [A-Z ]+)?\Z")
 _PREFIX = re.compile(r"^(?:by|the author\b|and|of|is|are|:|,|-|\.|'|\)|held)\s+", re.I)
 _DUPLICATE = re.compile(r"(?i)\bcopyright(?: copyright)+\b")
 
@@ -307,7 +321,7 @@ def _statements(lines: tuple[tuple[int, str], ...]) -> Iterator[tuple[str, str,
         else:
             parts = [t.value for t, label in leaves if t.tag not in ("AUTHS", "AUTH2", "BY", "IS")]
             value = refine(" ".join(parts))
-            if value:
+            if value and not _NO_AUTHOR.match(value):
                 yield "author", value, node.start, node.end
 
 
