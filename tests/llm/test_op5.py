@@ -1,4 +1,7 @@
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,3 +83,45 @@ def test_repeated_ids_do_not_enlarge_the_sample(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     terms, marks = quality.labelled_terms(frame(spark, rows), labels, "doc_id", "text", "doc_id", "quality", F.lit(True))
     assert len(terms) == 2 and sorted(marks) == [0, 1]
+
+
+def plain_terms(text):
+    words = [w for w in re.split(rb"[ \t-\r]+", bytes(c + 32 if 65 <= c <= 90 else c for c in text)) if w]
+    raw = [w for w in re.split(rb"[ \t-\r]+", text) if w]
+    n, out = len(words), np.zeros(quality.TERMS)
+    if not n:
+        return out
+    for w in raw:
+        shape = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else c for c in w)
+        short = re.sub(rb"(.)\1+", rb"\1+", shape, flags=re.DOTALL)
+        out[zlib.crc32(short, len(shape).bit_length()) % quality.SHAPES] += 1 / n
+    h = [zlib.crc32(w) for w in words]
+    for x in h:
+        out[quality.SHAPES + x % quality.WORDS] += 1 / n
+    for a, b in zip(h, h[1:]):
+        out[quality.SHAPES + quality.WORDS + ((b << 32) | a) % quality.PAIRS] += 1 / (n - 1)
+    if n > 1:
+        out[-3] = sum(a == b for a, b in zip(h, h[1:])) / (n - 1)
+        out[-2] = 1 - len(Counter(zip(h, h[1:]))) / (n - 1)
+    if n > 2:
+        out[-1] = 1 - len(Counter(zip(h, h[1:], h[2:]))) / (n - 2)
+    return out
+
+
+def test_query_over_the_whole_table_against_plain_python(spark, sf_small):
+    """Terms word by word, the sample row by row, and votes by a loop over all labelled vectors."""
+    texts = {r[0]: (r[1] or "").encode() for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r[0]: r[1] for r in spark.read.parquet(f"{sf_small}/labels.parquet").select("doc_id", "quality").collect() if r[1] is not None}
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    learned = sorted((i for i in labels if i in texts and not held(i)), key=str)
+    space = quality.build_space(np.array([plain_terms(texts[i]) for i in learned], np.float32), np.array([labels[i] for i in learned]))
+    got = queries.op5_quality(spark, sf_small).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts) and len(learned) > quality.NEIGHBOURS
+    for r in got:
+        v = (np.sqrt(plain_terms(texts[r["doc_id"]])) * space.weights) @ space.axes
+        similar = (space.vectors @ (v / np.linalg.norm(v))).tolist()
+        top = sorted(similar, reverse=True)[quality.NEIGHBOURS - 1]
+        near = [k for k, s in enumerate(similar) if s >= top - 1e-9]
+        weight = [np.exp(quality.SHARPNESS * similar[k]) for k in near]
+        want = sum(w * labels[learned[k]] for w, k in zip(weight, near)) / sum(weight)
+        assert r["held_out"] == held(r["doc_id"]) and r["predicted"] == (r["score"] >= 0.5) and r["score"] == pytest.approx(want, abs=2e-2)

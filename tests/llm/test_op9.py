@@ -1,5 +1,9 @@
+import zlib
+from collections import defaultdict
+
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tracewell.llm import language, queries
 
@@ -75,3 +79,30 @@ def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(language, "SAMPLE_ROWS", 300)
     few = language.sample_windows(docs, "doc_id", "text", "lang", F.lit(True))
     assert {lang for _, lang in few} == {lang for _, _, lang in rows} and sum(lang == "big" for _, lang in few) < 30
+
+
+def test_query_over_the_whole_table_against_plain_python(spark, sf_small):
+    """The sample chosen row by row, and every text's result by convolutions written out with that sample's network."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    hashed = {i: xxhash.xxh64_intdigest(str(i).encode(), 42) for i, _, _ in rows}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    by_lang = defaultdict(list)
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and text is not None:
+            by_lang[lang].append((i, text.encode()))
+    windows = []
+    for lang, own in by_lang.items():
+        least = min(signed(hashed[i]) for i, _ in own)
+        for i, text in own:
+            if hashed[i] % (1 << 20) / (1 << 20) < language.ROWS_PER_LANGUAGE / len(own) or signed(hashed[i]) == least:
+                parts = [text[k : k + language.WINDOW] for k in range(0, len(text), language.WINDOW)]
+                parts = [x for x in parts if any(c.isalpha() for c in x.decode("utf-8", "replace"))]
+                windows += [(x, lang) for x in parts[:: max(1, len(parts) // language.WINDOWS_PER_TEXT)][: language.WINDOWS_PER_TEXT]]
+    net, texts = language.train(sorted(windows)), {i: (t or "").encode() for i, t, _ in rows}
+    got = queries.op9_language(spark, sf_small).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        logits = direct(net, texts[r["doc_id"]])
+        p = np.exp(logits - logits.max())
+        assert r["lang_pred"] == net.languages[int(p.argmax())] and r["score"] == pytest.approx(p.max() / p.sum(), abs=1e-3)
