@@ -70,9 +70,3 @@ def matches_path(path: Column, patterns: list[str]) -> Column:
 
 def _any_segment(values: Column, whole: str) -> Column:
     return F.exists(values, lambda s: s.rlike(whole))
-
-
-def matches_name(name: Column, pattern: str) -> Column:
-    """A file name against a sibling pattern: ASCII case is ignored, with or without a star."""
-    whole = glob_regex(pattern.lower())
-    return F.lit(False) if whole is None else F.lower(name).rlike(whole)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.globs import matches_name
+from ..functions.globs import glob_regex
 from ..functions.text import file_name
 from .tree import ancestors, parent
 
@@ -74,12 +74,17 @@ def identified(prefix: str = "") -> Column:
 
 def _ordered(manifests: DataFrame, mode: str, assemblers: tuple[Assembler, ...]) -> DataFrame:
     """Manifest rows that an assembler of the mode reads, with parent_path, assembler and pattern_pos."""
-    table = F.broadcast(assembler_table(manifests.sparkSession, assemblers).where(F.col("mode") == mode).drop("mode"))
-    joined = manifests.join(table, "datasource_id")
-    hit = F.lit(False)
-    for p in sorted({p for a in assemblers if a.mode == mode for _, p in a.files}):
-        hit = hit | ((F.col("pattern") == p) & matches_name(file_name(F.col("path")), p))
-    return joined.where(hit).withColumn("parent_path", parent(F.col("path")))
+    plain = lambda p: not set(p) & set("*?[")
+    rows = [
+        (d, p, n, a.name, p.lower() if plain(p) else None, None if plain(p) else glob_regex(p.lower()))
+        for a in assemblers if a.mode == mode for n, (d, p) in enumerate(a.files)
+    ]
+    table = manifests.sparkSession.createDataFrame(rows, "datasource_id string, pattern string, pattern_pos int, assembler string, _exact string, _regex string")
+    # Most patterns are whole names, compared as such; those with a star are few and come from the table, not the plan.
+    named = manifests.withColumn("_name", F.lower(file_name(F.col("path"))))
+    hit = F.when(F.col("_exact").isNotNull(), F.col("_name") == F.col("_exact")).otherwise(F.regexp_like("_name", F.col("_regex")))
+    joined = named.join(F.broadcast(table), "datasource_id").where(hit).drop("_name", "_exact", "_regex")
+    return joined.withColumn("parent_path", parent(F.col("path")))
 
 
 def sibling_packages(manifests: DataFrame, assemblers: tuple[Assembler, ...] = ASSEMBLERS) -> tuple[DataFrame, DataFrame]:
