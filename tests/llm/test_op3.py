@@ -98,3 +98,86 @@ def test_one_of_each_component_is_kept(spark):
     kept = simhash.near_duplicates(frame(spark, rows)).where("kept").select("component_id", "text_hash").distinct()
     prints = sorted({brute_print(t) for _, t in rows})
     assert kept.count() == len({c for _, _, c in brute_components(list(enumerate(prints)))})
+
+
+def shingle_set(text):
+    """Five words; fewer words are one shingle."""
+    words = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def brute_similar(rows):
+    """rows: (id, text). Smallest id reachable over links of similar sets."""
+    sets, label = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and similar(sets[i], sets[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for (i, _), x in zip(rows, label, strict=True):
+        least[x] = min(least.get(x, (True, 0)), (i is None, i or 0))
+    return [(i, None if least[x][0] else least[x][1]) for (i, _), x in zip(rows, label, strict=True)]
+
+
+def found_similar(df):
+    return [(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(df).collect()]
+
+
+def changed(rng, text, share):
+    words = text.split()
+    for k in rng.sample(range(len(words)), int(share * len(words))):
+        words[k] = f"changed{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_similar_nasty_rows(spark, clash):
+    assert sorted(map(repr, found_similar(frame(spark, nasty_rows(), clash)))) == sorted(map(repr, brute_similar(nasty_rows())))
+
+
+def test_similar_empty_table(spark):
+    assert simhash.similar_documents(empty(spark)).count() == 0
+
+
+def test_similar_pairs_are_found_and_others_left_alone(spark):
+    """All that is linked is similar; of pairs at 0.8 to 0.85 nine in ten are linked, of closer ones nearly all."""
+    rng, rows, bands = random.Random(5), [], {}
+    for i in range(300):
+        text = sentence(rng, 200)
+        copy = changed(rng, text, rng.choice([0.005, 0.015, 0.02, 0.03, 0.06]))
+        a, b = shingle_set(text), shingle_set(copy)
+        rows += [(2 * i, text), (2 * i + 1, copy)]
+        bands.setdefault(min(3, int(20 * (len(a & b) / len(a | b) - 0.8) // 1)), []).append(2 * i)
+    got = dict(found_similar(frame(spark, rows)))
+    linked = {band: sum(got[i] == got[i + 1] for i in ids) / len(ids) for band, ids in bands.items()}
+    assert all(share == 0 for band, share in linked.items() if band < 0)
+    assert linked[0] >= 0.88 and all(linked[band] >= 0.95 for band in (1, 2, 3) if band in linked)
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+
+
+def test_similar_large_group(spark):
+    """A group of near copies, most of them similar to each other, some only over third ones, and a second group."""
+    rng = random.Random(6)
+    one, two = sentence(rng, 300), sentence(rng, 300)
+    rows = [(k, changed(rng, one, 0.015)) for k in range(250)] + [(1000 + k, changed(rng, two, 0.03)) for k in range(40)]
+    rows += [(2000 + k, one) for k in range(30)]
+    got, want = dict(found_similar(frame(spark, rows))), dict(brute_similar(rows))
+    assert all(want[c] == want[i] for i, c in got.items())
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+
+
+def test_extended_code():
+    """Codewords differ in 8 bits at least; whole numbers of any sign and size decode to the nearest one."""
+    signs = simhash.golay_signs()
+    every = np.concatenate([signs.T, -signs.T]).astype(int)
+    assert len(np.unique(every, axis=0)) == 4096
+    assert sorted(set((every @ every[0]).tolist())) == [-24, -8, 0, 8, 24]
+    rng = np.random.default_rng(2)
+    rows = rng.integers(-500_000, 500_000, (50, 24))
+    codes = simhash.decode(rows)
+    assert [int(r @ (signs[:, c // 2].astype(int) * (-1 if c % 2 else 1))) for r, c in zip(rows, codes, strict=True)] == (rows @ every.T).max(axis=1).tolist()
