@@ -181,3 +181,53 @@ def test_extended_code():
     rows = rng.integers(-500_000, 500_000, (50, 24))
     codes = simhash.decode(rows)
     assert [int(r @ (signs[:, c // 2].astype(int) * (-1 if c % 2 else 1))) for r, c in zip(rows, codes, strict=True)] == (rows @ every.T).max(axis=1).tolist()
+
+
+def test_similar_pairs_meet_in_their_prefixes():
+    """Sets of m <= n items with the overlap a similarity needs have a common item in the first m - v + 1 and n - v + 1."""
+    for similarity in (0.5, 0.8, 1.0):
+        for n in [*range(1, 260), 1000, 5001]:
+            looked = dict(simhash.prefixes(n, similarity)[1])
+            for m in range(-(-int(similarity * 1000) * n // 1000), n + 1):
+                overlap = next(v for v in range(int(similarity / (1 + similarity) * (m + n)), m + 1) if v >= similarity * (m + n - v) - 1e-9)
+                assert simhash.prefixes(m, similarity)[0] >= m - overlap + 1
+                assert looked[simhash.band(m)] >= n - overlap + 1
+
+
+def test_across_is_exact(spark):
+    """Sets with items of their own and items many share, chains among them, without links to start from."""
+    rng, sets = random.Random(7), []
+    for core in (20, 60, 61):
+        base = [rng.randrange(1 << 40) for _ in range(core)]
+        for _ in range(45):
+            base[rng.randrange(core)] = rng.choice([rng.randrange(1 << 40), rng.randrange(12)])
+            kept = [h for h in base if rng.random() > rng.choice([0, 0, 0.05, 0.2])]
+            sets.append(sorted({*kept, *(rng.randrange(1 << 40) for _ in range(rng.choice([0, 0, 1, 4, 12])))}))
+    frame_ = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "class long, hashes array<long>").repartition(3)
+    links = [(r["a"], r["b"]) for r in simhash._across(frame_, spark.createDataFrame([], "node long, root long"), 0.8).collect()]
+    label, want = list(range(len(sets))), list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            for group, linked in ((label, (j, i) in links), (want, similar(set(sets[i]), set(sets[j])))):
+                if linked and group[i] != group[j]:
+                    group[:] = [group[j] if x == group[i] else x for x in group]
+    same = lambda group: {tuple(k for k, x in enumerate(group) if x == y) for y in group}
+    assert same(label) == same(want) and 10 < len(same(want)) < len(sets) - 20
+
+
+def test_near_copies_cost_some_comparisons_a_text(spark, monkeypatch):
+    """Copies of a text with changes of their own, half of them similar to none: the pairs compared grow with the copies."""
+    rng, base, compared, verified = random.Random(8), sentence(random.Random(8), 150).split(), [], simhash._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    rows = [(k, " ".join(f"w{k}x{i}" if i in places else w for i, w in enumerate(base))) for k in range(800) for places in [set(rng.sample(range(150), k % 8))]]
+    rows.append((800, " ".join(base)))
+    for n in (200, 800):
+        compared.clear()
+        got, want = dict(found_similar(frame(spark, rows[-n:]))), dict(brute_similar(rows[-n:]))
+        assert all(want[c] == want[i] for i, c in got.items()) and sum(got[i] == want[i] for i in want) >= 0.98 * n
+        assert 20 < len(set(want.values())) and sum(compared) <= 6 * n, (n, compared)

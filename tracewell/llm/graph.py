@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Rows of links a partition holds at least, so that a small table isn't shuffled from many nearly empty ones.
+PARTITION_ROWS = 20_000
+
+
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
@@ -24,12 +28,14 @@ def components(links: DataFrame) -> DataFrame:
     now = cut(links.select("a", "b"))
     state = _state(now)
     while state[0]:
+        most = -(-2 * state[0] // PARTITION_ROWS)
+        now = now.coalesce(most)
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).coalesce(most)
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         moved = large.join(low, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        now = cut(low.select(F.col("m").alias("a"), "b").unionAll(moved).distinct())
+        now = cut(low.select(F.col("m").alias("a"), "b").unionAll(moved).coalesce(most).distinct())
         after = _state(now)
         if after == state:
             break

@@ -27,10 +27,16 @@ of which there are 78, so that texts are compared if the errors leave any two se
 the pairs at 0.8, 0.96 at 0.85, 0.99 at 0.9. Compared are, of texts with a key in common, those of which at most 80 bits
 differ (a quarter; at 0.8 about 48 of 312 do, standard deviation 6.3).
 
-No key's group is expanded into its pairs while one comparison can do. Each text is first compared with one of the
-smallest members of its keys' groups; only groups that hold more than one component after that are joined with
-themselves, across components, and every such pair within 80 bits is compared. So what shares a key and is similar is in
-one component in the end, and a group of copies with small changes costs a comparison a text.
+No key's group is expanded into its pairs. Each text is first compared with one of the smallest members of its keys'
+groups. Of groups that hold more than one component after that, the texts stay open that have one of another component
+within 80 bits. What is similar among open texts of different components is then found exactly, by prefixes of their
+sets: shingles are ordered by rarity, those of one component alone first, and two sets with an overlap of v have one in
+common among the first n - v + 1 of each. The overlap a similarity needs follows from both sizes, so a prefix is taken
+for each band of sizes a partner may have. A text whose prefix has only shingles of its own component costs nothing more,
+and in a group of near copies that is each one which changes make less similar than that to all others. A shingle's group
+is compared with its member of the most shared shingles first, and across components after that. So what shares a key, is
+within 80 bits and similar is in one component in the end, and a group of copies with changes of their own costs
+some comparisons a text, whether they are similar or not.
 """
 
 from __future__ import annotations
@@ -38,6 +44,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +71,8 @@ LONGS = -(-SEGMENTS * SEGMENT_BITS // 64)
 COMPARED_BITS = 80
 #: Rows of (id, hash) that are broadcast to find the texts to be compared; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Sizes of sets are told apart by this factor when a prefix's length is taken from the size of the partner.
+BAND = 1.02
 _SEGMENT_PAIRS = list(combinations(range(SEGMENTS), 2))
 
 
@@ -262,26 +271,125 @@ def _close() -> Column:
     return sum(differing[1:], differing[0]) <= COMPARED_BITS
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets of shingles are similar, counted exactly."""
+def _shingle_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """class, hashes: the sets of shingles of the wanted classes."""
 
     def work(batch: pa.RecordBatch) -> Iterator[list]:
         sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in as_bytes(batch.column(1))]
         yield [batch.column(0), pa.array(sets, pa.list_(pa.int64()))]
 
     wanted = cut(
-        pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct().join(classes, "class")
+        wanted.select("class").distinct().join(classes, "class")
         .select("class", F.col("first.key").alias("_key"), F.col("first.text_hash").alias("_hash"))
     )
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), _text_hash(text_col).alias("_found"))
     asked = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge")
     found = texts.join(asked, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_found") == F.col("_hash"))).select("class", "_text")
-    sets = written(map_slices(found, "_text", "class long, hashes array<long>", work, 1 << 20).dropDuplicates(["class"]), "sets")
+    return written(map_slices(found, "_text", "class long, hashes array<long>", work, 1 << 20).dropDuplicates(["class"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sets of shingles are similar, counted exactly."""
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
+def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of more than one part, with the part that has the most rows: _keys, main."""
+    counts = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy(*keys).agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    return cut(groups.where("parts > 1").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("most.part").alias("main")))
+
+
+def _parts(classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """The columns of ``classes`` and part, the smallest class that ``joined`` links each to."""
+    return classes.join(joined, F.col("class") == F.col("node"), "left").select(*classes.columns, F.coalesce("root", "class").alias("part"))
+
+
+def _open(shared: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Classes with one of another component within COMPARED_BITS in one of their keys' groups. Members of a group's
+    largest component are held against the others only."""
+    placed = cut(_parts(shared.select("k", "class"), joined))
+    rows = placed.join(_mixed(placed, ["k"]), F.col("k") == F.col("_k")).select("k", "class", "part", "main")
+    first, second = _bits(classes, "a"), _bits(classes, "b")
+    a = cut(rows.join(first, F.col("class") == F.col("a")).select("k", "part", "main", *first.columns))
+    b = a.toDF("k_b", "part_b", "main_b", *second.columns)
+    near = (F.col("k") == F.col("k_b")) & (F.col("part") != F.col("part_b")) & _close()
+    beside, inside = b.where("part_b != main_b"), b.where("part_b = main_b")
+    found = a.hint("merge").join(beside.hint("merge"), near, "left_semi").select("a")
+    more = a.where("part != main").hint("merge").join(inside.hint("merge"), near, "left_semi").select("a")
+    return found.unionAll(more).select(F.col("a").alias("class"))
+
+
+def band(n: int) -> int:
+    return int(log(n) / log(BAND))
+
+
+@lru_cache(1 << 16)
+def prefixes(n: int, similarity: float) -> tuple[int, list[tuple[int, int]]]:
+    """For a set of n items: the length of the prefix that partners of n or more items meet, and, for each band with sizes
+    up to n that can be similar, the length of the prefix that meets those of partners in that band."""
+
+    def first(other: int) -> int:
+        return n - ceil(similarity / (1 + similarity) * (n + other) - 1e-9) + 1
+
+    least: dict[int, int] = {}
+    at = ceil(similarity * n - 1e-9)
+    while at <= n:
+        least.setdefault(band(at), at)
+        at = max(at + 1, int(BAND ** (band(at) + 1)) - 1)
+    return first(n), [(k, first(other)) for k, other in least.items()]
+
+
+def _postings(sets: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
+    """h, band, class, part, n (the set's size), alone (how many of its shingles no other component has), at (the place of h in
+    it by rarity), indexed (whether larger partners meet it there). Shingles of one component alone come first in every
+    set and aren't returned, as nothing meets them."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[list]:
+        out: list[list] = [[] for _ in range(8)]
+        for name, part, n, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            alone, (shown, looked) = n - len(own), prefixes(n, similarity)
+            for k, length in looked:
+                for at in range(alone, length):
+                    row = (own[at - alone], k, name, part, n, alone, at, k == band(n) and at < shown)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+        yield out
+
+    rows = _parts(sets, joined).select("class", "part", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    kept = rows.hint("merge").join(cut(common.select(F.col("h").alias("_h"), "df")), F.col("h") == F.col("_h"))
+    own = kept.groupBy("class", "part", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own")).select("class", "part", "n", "own.h")
+    return map_slices(own, "h", "h long, band int, class long, part long, n int, alone int, at int, indexed boolean", work, 1 << 18)
+
+
+def _across(sets: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
+    """Links that join the components of ``joined`` and what is similar among the classes of ``sets``."""
+    keys = ["h", "band"]
+
+    def pairs(shown: DataFrame, looking: DataFrame) -> DataFrame:
+        shown = shown.select(*[F.col(c).alias(f"{c}_x") for c in (*keys, "class", "part", "n", "at")])
+        need = similarity / (1 + similarity) * (F.col("n") + F.col("n_x")) - 1e-9
+        may = F.least(F.col("n") - F.col("at"), F.col("n_x") - F.col("at_x")) >= need
+        near = (F.col("h") == F.col("h_x")) & (F.col("band") == F.col("band_x")) & (F.col("n_x") <= F.col("n")) & (F.col("part") != F.col("part_x")) & may
+        return looking.hint("merge").join(shown, near).select(F.least("class", "class_x").alias("a"), F.greatest("class", "class_x").alias("b"))
+
+    postings = cut(_postings(sets, joined, similarity))
+    best = F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "class", "part", "n", "at")).alias("best")
+    central = cut(postings.where("indexed").groupBy(*keys).agg(best).select(*keys, "best.*"))
+    stars = cut(pairs(central, postings).distinct())
+    joined = components(joined.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(_verified(stars, sets, similarity)))
+
+    rows = cut(_parts(postings.drop("part"), joined))
+    rows = cut(rows.join(_mixed(rows, keys), [F.col(k) == F.col(f"_{k}") for k in keys]).drop("_h", "_band"))
+    beside, shown = F.col("part") != F.col("main"), rows.where("indexed")
+    rest = pairs(shown.where(beside), rows).unionAll(pairs(shown, rows.where(beside))).distinct()
+    found = _verified(cut(rest.join(stars, ["a", "b"], "left_anti")), sets, similarity)
+    return joined.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(found)
+
+
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -298,18 +406,10 @@ def similar_documents(
     stars = shared.where("least < class").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
     stars = stars.join(first, "a").join(second, "b").where(_close()).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     stars = cut(stars)
-    linked = cut(_verified(stars, classes, docs, id_col, text_col, size, similarity))
-    joined = components(linked)
-
-    placed = shared.select("k", "class").join(joined, F.col("class") == F.col("node"), "left").select("k", "class", F.coalesce("root", "class").alias("part"))
-    placed = cut(placed)
-    mixed = placed.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select(F.col("k").alias("key"))
-    open_ = placed.join(mixed, F.col("k") == F.col("key")).select("k", "class", "part")
-    a = open_.join(first, F.col("class") == F.col("a")).select("k", F.col("part").alias("part_a"), *first.columns)
-    b = open_.join(second, F.col("class") == F.col("b")).select(F.col("k").alias("k_b"), F.col("part").alias("part_b"), *second.columns)
-    across = a.hint("merge").join(b, (F.col("k") == F.col("k_b")) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _close())
-    rest = cut(across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    links_ = linked.unionAll(_verified(rest, classes, docs, id_col, text_col, size, similarity))
+    sets = _shingle_sets(stars.select(F.col("a").alias("class")).unionAll(stars.select("b")), classes, docs, id_col, text_col, size)
+    joined = components(_verified(stars, sets, similarity))
+    open_ = _open(shared, classes, joined)
+    links_ = _across(_shingle_sets(open_, classes, docs, id_col, text_col, size), joined, similarity)
     return _members(prints, classes, components(links_), "class", id_col).select(id_col, "component_id", "text_hash", "kept")
 
 
