@@ -49,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver's JVM collects their plans, which may be long after a step that
+    needed much of the disk; this asks for it now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` from a Parquet table of their own in the shared folder. Columns that aren't read cost nothing."""
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid4().hex}"

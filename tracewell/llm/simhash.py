@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, map_slices, map_texts, written
+from .common import as_bytes, cut, map_slices, map_texts, release, written
 from .graph import components
 from .words import SPACE_TABLE
 
@@ -401,6 +401,7 @@ def similar_documents(
     keyed = _segment_keys(classes)
     least = keyed.groupBy("k").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select(F.col("k").alias("key"), "least")
     shared = cut(keyed.hint("merge").join(least, F.col("k") == F.col("key")).select("k", "class", "least"))
+    release(docs.sparkSession)
     first, second = _bits(classes, "a"), _bits(classes, "b")
 
     stars = shared.where("least < class").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
@@ -408,9 +409,12 @@ def similar_documents(
     stars = cut(stars)
     sets = _shingle_sets(stars.select(F.col("a").alias("class")).unionAll(stars.select("b")), classes, docs, id_col, text_col, size)
     joined = components(_verified(stars, sets, similarity))
+    release(docs.sparkSession)
     open_ = _open(shared, classes, joined)
     links_ = _across(_shingle_sets(open_, classes, docs, id_col, text_col, size), joined, similarity)
-    return _members(prints, classes, components(links_), "class", id_col).select(id_col, "component_id", "text_hash", "kept")
+    joined = components(links_)
+    release(docs.sparkSession)
+    return _members(prints, classes, joined, "class", id_col).select(id_col, "component_id", "text_hash", "kept")
 
 
 def _members(prints: DataFrame, classes: DataFrame, joined: DataFrame, node: str, id_col: str) -> DataFrame:
