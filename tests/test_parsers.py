@@ -3,14 +3,18 @@
 import gzip
 import io
 import json
+import re
 import sqlite3
 import struct
 import tarfile
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from tracewell.parsers import READERS, matching_readers, package_data, readers_table
+from pyspark.sql import functions as F
 from tracewell.parsers.base import person, purl, rows_of, sri
+from pyspark.sql import functions as F
 from tracewell.parsers.python import pep508
 
 
@@ -235,3 +239,34 @@ def test_yumdb_folder(spark):
     files = spark.createDataFrame([(f"{base}/from_repo", "base\n"), (f"{base}/reason", "user")], "path string, content string")
     row = with_siblings(package_data(files), files).first()
     assert row["name"] == "bash" and json.loads(row["extra_data"]) == {"from_repo": "base", "reason": "user"}
+
+
+def test_plain_requirements_and_names_take_the_short_way(monkeypatch):
+    from re import _parser
+
+    from tracewell.parsers import python, table
+
+    seen = []
+    general = python.pep508
+    monkeypatch.setattr(python, "pep508", lambda text: seen.append(text) or general(text))
+    found = python.requirements("requirements.txt", "A.b_c == 1.0  # any\n z\nn[x]>=1\nv==1+2\n")["dependencies"]
+    assert [(d["purl"], d["extracted_requirement"], d["is_pinned"]) for d in found] == [("pkg:pypi/a-b-c@1.0", "==1.0", True), ("pkg:pypi/z", None, False), ("pkg:pypi/n", ">=1", False), ("pkg:pypi/v@1%2B2", "==1+2", True)]
+    assert seen == ["n[x]>=1", "v==1+2"]
+    assert len(table._by_name("main.c")[1]) < len(table._compiled()[1]) / 2
+    paths = [d + n for d in ("", "a/", "debian/", "x/META-INF/", "x/meta-inf/", "var/lib/dpkg/info/") for n in ("control", "a.list", "module.xml", "MODULE.XML", "requirements.txt", "metadata.gz-extract", "main.c")]
+    for p in paths:
+        assert table.matching_readers(p) == [r for r in READERS if re.search(r.paths, p)]
+    assert table.needed_literals(_parser.parse(r"(?:^|/)[^/]*requirements?[^/]*\.(?:txt|in)$|/requires\.txt$")) == {"requirement", "/requires.txt"}
+    assert table.needed_literals(_parser.parse(r"[ab]+(?:x|y?)*$")) == frozenset()
+
+
+def test_path_filter_keeps_what_some_reader_takes(spark):
+    from tracewell.parsers.table import matching_readers, path_filter
+
+    paths = [d + n for d in ("", "a/", "debian/", "x/meta-inf/", "var/lib/dpkg/status.d/", "c1/o2/") for n in ("control", "base", "a.md5sums", "MODULE.XML", "dev-requirements.in", "X.Gemspec", "main.c", "a.txt", "pom.xml")]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    kept = {r["path"] for r in df.where(path_filter(F.col("path"), list(READERS))).collect()}
+    taken = {p for p in paths if matching_readers(p)}
+    assert kept >= taken and all(p.endswith("X.Gemspec") for p in kept - taken)  # endings are compared in lower case; Python tests them again
+    # an expression tried at every place of each path was most of the filter's time; now it waits for a text it needs
+    assert "Contains(" in df.where(path_filter(F.col("path"), list(READERS)))._jdf.queryExecution().optimizedPlan().toString()

@@ -7,7 +7,10 @@ limit; what is left goes to Python in Arrow batches. No shuffle.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Iterable
+from functools import lru_cache, reduce
+from operator import or_
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,17 +35,31 @@ def _compiled() -> tuple[list[tuple[int, re.Pattern]], list[tuple[int, re.Patter
     return named, others
 
 
+def _last_part(pattern: str) -> re.Pattern | None:
+    """What an expression over paths asks of a file's name; None where that isn't plain to tell."""
+    flags, bare = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    bare = bare.replace("[^/]", "\0").replace("(?:^|/)", "/")
+    last = bare.rpartition("/")[2]
+    outside = re.sub(r"\([^()]*\)", "", bare)
+    if "/" not in bare or not last.endswith("$") or "|" in outside or "(" in outside or last.count("(") != last.count(")"):
+        return None
+    return re.compile(flags + "^" + last.replace("\0", "[^/]"))
+
+
 @lru_cache(100_000)
-def _by_name(name: str) -> tuple[int, ...]:
-    return tuple(n for n, p in _compiled()[0] if p.search(name))
+def _by_name(name: str) -> tuple[tuple[int, ...], tuple[tuple[int, re.Pattern], ...]]:
+    """Readers that take a file of this name wherever it is, and those whose expression its path has to pass."""
+    named, others = _compiled()
+    return tuple(n for n, p in named if p.search(name)), tuple((n, p) for n, p in others if (last := _last_part(p.pattern)) is None or last.search(name))
 
 
 def matching_readers(path: str) -> list[Reader]:
     """Readers that take a path, in the table's order."""
-    found = [*_by_name(path.rpartition("/")[2]), *(n for n, p in _compiled()[1] if p.search(path))]
-    return [READERS[n] for n in sorted(found)]
+    named, others = _by_name(path.rpartition("/")[2])
+    return [READERS[n] for n in sorted([*named, *(n for n, p in others if p.search(path))])]
 
 
+_ROWS = 1000
 _LITERAL = re.compile(r"(?:[\w -]|\\[^\w])+")
 
 
@@ -50,9 +67,26 @@ def _unescaped(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text)
 
 
+def needed_literals(parsed: Iterable) -> frozenset[str]:
+    """Texts of which what a parsed expression matches holds one at least; none where that isn't plain to tell."""
+    found, run = [], ""
+    for op, value in [*parsed, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        found.append(frozenset([run] if run else []))
+        run = ""
+        if op is _parser.SUBPATTERN:
+            found.append(needed_literals(value[3]))
+        elif op is _parser.BRANCH:
+            each = [needed_literals(b) for b in value[1]]
+            found.append(frozenset().union(*each) if all(each) else frozenset())
+    return max(found, key=lambda f: min(map(len, f), default=0))
+
+
 def path_filter(path: Column, readers: list[Reader]) -> Column:
     """Whether some reader may take a path. Most are known by a file's name or ending, which are looked up in a set; an
-    expression is tried only where the name fits its last part, or for the few that tell nothing about it. Python tests
+    expression is tried only where the name fits its last part, or where the path holds a text that it needs. Python tests
     the whole expression again."""
     names, endings, tails, tailed, others = set(), set(), set(), [], []
     for p in dict.fromkeys(r.paths for r in readers):
@@ -68,20 +102,29 @@ def path_filter(path: Column, readers: list[Reader]) -> Column:
             tailed.append(p)
         else:
             others.append(p)
-    name = F.substring_index(path, "/", -1)
-    any_of = lambda patterns, of=path: of.rlike("|".join(f"(?:{p})" for p in patterns))
-    by_name = [p for p in others if _name_alone(p)]
-    by_path = [p for p in others if not _name_alone(p)]
-    hit = F.lit(False)
-    if names:
-        hit = hit | name.isin(*sorted(names))
-    if endings:
-        hit = hit | F.lower(F.substring_index(name, ".", -1)).isin(*sorted(endings))
-    if tails:
-        hit = hit | (name.isin(*sorted(tails)) & any_of(tailed))
-    if by_name:
-        hit = hit | any_of(by_name, name)
-    return hit | any_of(by_path) if by_path else hit
+    any_of = lambda patterns, path: path.rlike("|".join(f"(?:{p})" for p in patterns))
+    guarded = []
+    for p in others:  # looking for a text is much quicker than trying an expression at each place
+        parsed = _parser.parse(p)
+        low = bool(parsed.state.flags & re.IGNORECASE)
+        guarded.append((p, low, sorted(t.lower() if low else t for t in needed_literals(parsed))))
+
+    def test(path: Column, name: Column, lowered: Column) -> Column:
+        hit = F.lit(False)
+        if names:
+            hit = hit | name.isin(*sorted(names))
+        if endings:
+            hit = hit | F.substring_index(F.lower(name), ".", -1).isin(*sorted(endings))
+        if tails:
+            hit = hit | (name.isin(*sorted(tails)) & any_of(tailed, path))
+        for p, low, held in guarded:
+            fits = (name if _name_alone(p) else path).rlike(p)
+            hit = hit | (reduce(or_, ((lowered if low else path).contains(t) for t in held)) & fits if held else fits)
+        return hit
+
+    # each of the three is made once a row, as a lambda's variable
+    with_name = lambda p: F.exists(F.array(F.substring_index(p, "/", -1)), lambda n: F.exists(F.array(F.lower(p)), lambda w: test(p, n, w)))
+    return F.exists(F.array(path), with_name)
 
 
 def readers_table(spark: SparkSession) -> DataFrame:
@@ -105,7 +148,7 @@ def package_data(files: DataFrame, path: str = "path", content: str = "content",
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows: list[dict] = []
             for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for reader in matching_readers(p):
                     if reader.datasource not in chosen:
@@ -114,6 +157,9 @@ def package_data(files: DataFrame, path: str = "path", content: str = "content",
                     rows += [{"path": p, **r} for r in made]
                     if made:
                         break
+                if len(rows) >= _ROWS:  # many dicts at once are slow to keep and to convert
+                    yield pa.RecordBatch.from_pylist(rows, schema=target)
+                    rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=target)
 
     return own.mapInArrow(run, schema)
