@@ -101,3 +101,16 @@ def test_clarity_and_summary(spark):
     s = sm.summary(flags, packages, licenses, holders, languages).first()
     assert (s["declared_license_expression"], s["declared_holder"], s["primary_language"]) == ("apache-2.0", "Jane", "C")
     assert [tuple(x) for x in s["other_holders"]] == [("Bob", 2)] and [tuple(x) for x in s["other_languages"]] == [("Go", 1)]
+
+
+def test_roots_above_many_paths_are_joined_in_groups(spark):
+    names = [f"r{k % 3}/d{k % 7}/f{k}" for k in range(60)] + ["/r0/x", "top", "r0/d0/e/deep/y"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    roots = spark.createDataFrame([("", "t"), ("", "u"), ("r0", "a"), ("r0/d0", "b"), ("r9", "c")], "root string, package_uid string")
+    above = tr.ancestors(files)
+    plain = sorted(tuple(r) for r in above.join(roots, F.col("ancestor") == F.col("root")).select("path", "distance", "package_uid").collect())
+    for most in (1, 4, 1000):
+        assert sorted(tuple(r) for r in tr.at_roots(above, roots, "path", most).select("path", "distance", "package_uid").collect()) == plain
+    plan = tr.at_roots(above, roots, "path", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_group" in next(line for line in plan.split("\n") if "Join Inner" in line)  # rows of a large directory have several keys
+    assert "LeftSemi" in plan  # levels without a root, as the top mostly is one, aren't shuffled

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import glob_regex
 from ..functions.text import file_name
-from .tree import ancestors, parent
+from .tree import ancestors, at_roots, parent
 
 
 @dataclass(frozen=True)
@@ -230,7 +230,7 @@ def owned_files(files: DataFrame, packages: DataFrame, kind: str, path: str = "p
     """path, package_uid. npm, composer and gem: the deepest root above a file owns it; cargo: every root above does.
     Files in a root's dependency or build directory aren't that root's."""
     roots = package_roots(packages, kind)
-    pairs = ancestors(files, path).join(roots, F.col("ancestor") == F.col("root"))
+    pairs = at_roots(ancestors(files, path), roots, path)
     inside = F.when(F.col("root") == "", F.col(path)).otherwise(F.substr(F.col(path), F.length("root") + 2, F.length(path)))
     kept = pairs.where(~F.split(inside, "/")[0].isin(*_SKIPPED[kind]))
     if kind == "cargo":
@@ -245,7 +245,7 @@ def requirements_owners(files: DataFrame, packages: DataFrame, path: str = "path
     project = F.filter("datafile_paths", lambda p: file_name(p).isin(*PROJECT_FILES))
     roots = packages.where("type = 'pypi'").select("package_uid", F.get(project, F.lit(0)).alias("_m")).where("_m IS NOT NULL").select(parent(F.col("_m")).alias("root"), "package_uid")
     own = files.where(F.col("datasource_id") == "pip_requirements").where(file_name(parent(F.col(path))) == "requirements")
-    pairs = ancestors(own, path).where("distance >= 2").join(roots, F.col("ancestor") == F.col("root"))
+    pairs = at_roots(ancestors(own, path).where("distance >= 2"), roots, path)
     best = pairs.withColumn("_n", F.rank().over(Window.partitionBy(path).orderBy("distance"))).where("_n = 1")
     return best.groupBy(path).agg(F.count(F.lit(1)).alias("_k"), F.min("package_uid").alias("package_uid")).where("_k = 1").drop("_k")
 

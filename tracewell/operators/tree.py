@@ -33,6 +33,25 @@ def ancestors(df: DataFrame, path: str = "path", self: bool = False) -> DataFram
     return split.select(path, F.inline(above)).where(F.col("distance") >= (0 if self else 1))
 
 
+#: A directory above more paths than this is joined in several groups of them.
+MOST_BELOW = 1_000_000
+
+
+def at_roots(above: DataFrame, roots: DataFrame, path: str = "path", most: int | None = None) -> DataFrame:
+    """Rows of ``ancestors`` joined with the roots (root and other columns) at their ancestor.
+
+    Only levels that have a root are looked at. All paths are below the top, and many may be below one root, which one
+    task would read: such rows are dealt over groups by a hash of the path, and the few roots go to each group."""
+    most = most or MOST_BELOW
+    levels = roots.select(depth(F.col("root")).alias("_level")).distinct()
+    near = above.withColumn("_level", depth(F.col("ancestor"))).join(F.broadcast(levels), "_level", "left_semi").drop("_level")
+    heavy = near.groupBy("ancestor").agg(F.ceil(F.count(F.lit(1)) / most).alias("_groups")).where("_groups > 1").withColumnRenamed("ancestor", "_heavy")
+    dealt = near.join(F.broadcast(heavy), F.col("ancestor") == F.col("_heavy"), "left").withColumn("_group", F.when(F.col("_groups").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(path), F.col("_groups")))).drop("_heavy", "_groups")
+    numbers = F.sequence(F.lit(0).cast("long"), F.coalesce("_groups", F.lit(1).cast("long")) - 1)
+    copies = roots.join(F.broadcast(heavy), F.col("root") == F.col("_heavy"), "left").withColumn("_number", F.explode(numbers)).drop("_heavy", "_groups")
+    return dealt.join(copies, (F.col("ancestor") == F.col("root")) & (F.col("_group") == F.col("_number"))).drop("_group", "_number")
+
+
 def with_directories(files: DataFrame, path: str = "path") -> DataFrame:
     """The files and every directory above one: path, is_dir. Directories are pre-aggregated by the distinct."""
     above = ancestors(files, path).where("ancestor <> ''").select(F.col("ancestor").alias(path)).distinct()
