@@ -90,3 +90,19 @@ def test_rule_files(spark, tmp_path):
     assert again.count() == len(rl.DEFAULT_RULES) and kept.count() == 1
     with pytest.raises(ValueError):
         rl.rule_kind({"is_license_text": True, "is_license_tag": True})
+
+
+def test_headers_read_as_by_the_plain_reader():
+    import yaml
+
+    for text in ("a: yes\nb: 'x'\n", "a:\n  - http://a:1/x\n  - 2020-01-01\n", "n: |\n  two\n  lines\n", "a: é\nb: ~\nc: 0o7\n", "", "- x\n"):
+        assert rl.header(text) == yaml.safe_load(text)
+    for text in ("a: [1\n", "d:\t3\n", "a: b: c\n", "m: !!python/object:os.system {}\n"):
+        with pytest.raises(yaml.YAMLError):
+            rl.header(text)
+
+
+def test_license_files_are_parsed_once(spark, sf_small):
+    from tracewell.plans.queries import queries
+
+    assert "MapInArrow" not in queries()["license_files"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()

@@ -79,6 +79,13 @@ def rule_url(identifier: Column, is_from_license: Column, base: str) -> Column:
     return F.concat(F.lit(base.rstrip("/")), F.when(is_from_license, "/licenses/").otherwise("/rules/"), identifier)
 
 
+def header(text: str) -> object:
+    """The value of a YAML header, by libyaml where PyYAML has it. Tabs, which libyaml takes in more places, go to PyYAML's own reader."""
+    import yaml
+
+    return yaml.load(text, Loader=yaml.SafeLoader if "\t" in text else getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+
+
 def _documents(df: DataFrame, schema: str, make) -> DataFrame:
     """Files (path, text) with a YAML header, as rows of a dimension; ``make`` turns stem, header and body into one.
 
@@ -98,11 +105,14 @@ def _documents(df: DataFrame, schema: str, make) -> DataFrame:
                 if len(parts) < 3:
                     continue
                 try:
-                    head = yaml.safe_load(parts[1]) or {}
+                    head = header(parts[1]) or {}
                 except yaml.YAMLError:
                     continue
                 if isinstance(head, dict) and (row := make(name, head, parts[2])) is not None:
                     rows.append(row)
+                if len(rows) >= 1000:  # many dicts at once are slow to keep and to convert
+                    yield pa.RecordBatch.from_pylist(rows, schema=target)
+                    rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=target)
 
     return df.select(file_name(F.col("path")).alias("name"), "text").mapInArrow(run, schema)

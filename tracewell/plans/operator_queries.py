@@ -21,7 +21,7 @@ from ..operators import tree as tr
 from ..sinks import html_report, json_document, yaml_document
 from ..sinks.lines import escape_xml
 from ..sources import cache, files, scans
-from ..sources.work import work_folder
+from ..sources.work import Keeper, work_folder
 from .registry import query, table
 from .text_queries import _list
 from .tree_queries import FILES, files_of, report_of
@@ -248,7 +248,7 @@ def license_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("---\nkey: any\nshort_name: short "), F.col("p_size"), F.lit("\n"), line(k % 2 == 0, F.lit("name: '"), F.col("p_brand"), F.lit("'")), line(k % 3 == 0, F.lit("spdx_license_key: SPDX-"), k),
         line(k % 4 == 0, F.lit("is_deprecated: yes")), F.lit("text_urls:\n  - ' http://a.io/x '\n  - http://a.io/x\nhomepage_url: http://b.io\n---\n"), F.when(k % 4 == 0, "").otherwise("license text\n"),
     )
-    made = rl.load_licenses(p.select(F.concat(F.lit("licenses/l"), k, F.lit(".LICENSE")).alias("path"), text.alias("text")))
+    made = Keeper(spark)("licenses", rl.load_licenses(p.select(F.concat(F.lit("licenses/l"), k, F.lit(".LICENSE")).alias("path"), text.alias("text"))))
     rules = rl.license_rules(made).select(F.col("license_expression").alias("key"), F.col("identifier").alias("rule"))
     return made.join(rules, "key", "left").select("key", "name", "short_name", F.col("spdx_license_key").alias("spdx"), F.size("reference_urls").cast("long").alias("urls"), F.col("is_deprecated").alias("deprecated"), "rule")
 
