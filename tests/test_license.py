@@ -106,3 +106,18 @@ def test_license_files_are_parsed_once(spark, sf_small):
     from tracewell.plans.queries import queries
 
     assert "MapInArrow" not in queries()["license_files"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rule_files_are_parsed_once(spark, tmp_path):
+    files = spark.createDataFrame([(f"r/{k}.RULE", f"---\nis_license_notice: yes\n---\nrule {k}\n") for k in range(40)], "path string, text string").repartition(4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rules = rl.load_rules(files.mapInArrow(count, files.schema))
+    rl.write_index(rules, rl.default_licenses(spark), str(tmp_path / "once"))
+    assert seen.value == 40 and rl.read_index(spark, str(tmp_path / "once"))[0].count() == 40
+    assert len(list((tmp_path / "once" / "rules").glob("*.parquet"))) > 1

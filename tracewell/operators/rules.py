@@ -178,8 +178,9 @@ def spdx_names(licenses: DataFrame) -> dict[str, str | None]:
 
 
 def write_index(rules: DataFrame, licenses: DataFrame, path: str) -> None:
-    rules.orderBy("identifier").coalesce(1).write.mode("overwrite").parquet(f"{path}/rules")
-    licenses.orderBy("key").coalesce(1).write.mode("overwrite").parquet(f"{path}/licenses")
+    """Each is made once and written by all tasks; an order over all files would take a first pass for its borders, and one file a single task."""
+    rules.sortWithinPartitions("identifier").write.mode("overwrite").parquet(f"{path}/rules")
+    licenses.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/licenses")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
